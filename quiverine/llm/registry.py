@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quiverine.llm import bpe, packing, simhash, url_filter
+from quiverine.llm import bpe, packing, simhash, substring, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_bpe": bpe.op3_bpe,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
     "op7_url_filters": url_filter.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
 }
