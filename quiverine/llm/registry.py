@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quiverine.llm import bpe, packing, simhash, substring, url_filter
+from quiverine.llm import bpe, langid, packing, simhash, substring, url_filter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_packing": packing.op2_packing,
     "op3_bpe": bpe.op3_bpe,
     "op7_url_filters": url_filter.op7_url_filters,
