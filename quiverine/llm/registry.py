@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quiverine.llm import bpe, langid, packing, simhash, substring, toxicity, url_filter
+from quiverine.llm import bpe, langid, packing, pii, simhash, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_packing": packing.op2_packing,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op7_url_filters": url_filter.op7_url_filters,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
