@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quiverine.llm import bpe, langid, packing, pii, simhash, substring, toxicity, url_filter
+from quiverine.llm import bpe, gif, langid, packing, pii, simhash, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
+    "op6_gif": gif.op6_gif,
     "op7_url_filters": url_filter.op7_url_filters,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
