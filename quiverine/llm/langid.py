@@ -153,38 +153,52 @@ def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 48, ridge
     return Model(languages, features.astype(np.int64), marks, (to @ solved).astype(np.float32), middle.astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` (else doc_id) of every row of ``docs``, with lang_pred and score."""
-    spark = docs.sparkSession
-    small_batches(spark, 512)
+class Scorer:
+    """A model with its n-gram index, as a worker holds it."""
+
+    def __init__(self, packed: bytes) -> None:
+        blas_threads()
+        self.model: Model = pickle.loads(packed)
+        self.index = self.model.index()
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        model = self.model
+        lines = [letters(t) for t in texts]
+        if not model.languages:
+            return [UNDETERMINED] * len(lines), [0.0] * len(lines)
+        lang: list[str] = []
+        score: list[float] = []
+        for a in range(0, len(lines), 128):
+            part = lines[a : a + 128]
+            f = kernel(presence(part, self.index, len(model.features)), model.landmarks) @ model.weights + model.share
+            best = f.argmax(axis=1)
+            top = np.clip((f[np.arange(len(part)), best].astype(np.float64) + 1) / 2, 0, 1)
+            lang += [model.languages[b] if line else UNDETERMINED for b, line in zip(best, part, strict=True)]
+            score += [float(s) if line else 0.0 for s, line in zip(top, part, strict=True)]
+        return lang, score
+
+
+def _shared(spark: SparkSession, model: Model):
+    """The model, broadcast: its size is bounded by the sample's."""
     packed = pickle.dumps(model)
     if len(packed) > 1 << 30:
         raise ValueError("the model is too large to broadcast")
-    shared = spark.sparkContext.broadcast(packed)
-    kept: dict = {}
+    return spark.sparkContext.broadcast(packed)
+
+
+def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None) -> DataFrame:
+    """``keep`` (else doc_id) of every row of ``docs``, with lang_pred and score."""
+    small_batches(docs.sparkSession)
+    shared, kept = _shared(docs.sparkSession, model), {}
     rows = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").cast("string").alias("__text"))
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blas_threads()
         if not kept:
-            kept["model"] = pickle.loads(shared.value)
-            kept["index"] = kept["model"].index()
-        model, index = kept["model"], kept["index"]
+            kept["scorer"] = Scorer(shared.value)
         for batch in batches:
-            lang, score = [], []
-            lines = [letters(t) for t in batch.column(len(names)).to_pylist()]
-            for a in range(0, len(lines), 128):
-                part = lines[a : a + 128]
-                if not model.languages:
-                    lang += [UNDETERMINED] * len(part)
-                    score += [0.0] * len(part)
-                    continue
-                f = kernel(presence(part, index, len(model.features)), model.landmarks) @ model.weights + model.share
-                best = f.argmax(axis=1)
-                top = np.clip((f[np.arange(len(part)), best].astype(np.float64) + 1) / 2, 0, 1)
-                lang += [model.languages[b] if line else UNDETERMINED for b, line in zip(best, part, strict=True)]
-                score += [float(s) if line else 0.0 for s, line in zip(top, part, strict=True)]
+            lang, score = kept["scorer"](batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
@@ -210,9 +224,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text has a language, of a score of ``least`` or more."""
-    names = docs.columns
-    judged = predict(docs, fit(_learned(docs)), [F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")])
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    model = fit(_learned(docs))
+    small_batches(docs.sparkSession)
+    shared, kept, at = _shared(docs.sparkSession, model), {}, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            kept["scorer"] = Scorer(shared.value)
+        for batch in batches:
+            found = zip(*kept["scorer"](batch.column(at).to_pylist()), strict=True)
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

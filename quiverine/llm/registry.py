@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quiverine.llm import bpe, gif, langid, packing, pii, simhash, substring, toxicity, url_filter
+from quiverine.llm import bpe, gif, langid, packing, pii, simhash, substring, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_gif": gif.op6_gif,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
     "op7_url_filters": url_filter.ORACLE,
+    "op8_exact_topk": topk.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
 }

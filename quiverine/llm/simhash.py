@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverine.llm.common import arrow_map, checkpoint, read, small_batches
@@ -63,14 +63,20 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``."""
+    """(doc_id, fp, key, check) of every row of ``docs``; the last two are hashes of id and text, equal for equal rows."""
     small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = pa.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), out], ["doc_id", "fp"])
+        out = pa.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), out, batch.column(1), batch.column(2)], ["doc_id", "fp", "key", "check"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), *_row_key(), F.col("text").cast("string"))
+    return arrow_map(rows, run, "doc_id long, fp long, key long, check int")
+
+
+def _row_key() -> tuple[Column, Column]:
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(doc_id, text).alias("key"), F.hash(text, doc_id).alias("check")
 
 
 def _blocks(distance: int) -> list[tuple[int, int]]:
@@ -192,36 +198,44 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``.
+def linked_classes(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; equal roots are one component.
 
-    ``distance`` + 1 is at most 62; a larger one gives smaller blocks and so
-    larger buckets.
+    ``distance`` is at most 61; a larger one gives smaller blocks and so larger
+    buckets.
     """
-    if not 0 <= distance <= 61 or shingle < 1:
-        raise ValueError("distance must be from 0 to 61, shingle at least 1")
+    if not 0 <= distance <= 61:
+        raise ValueError("distance must be from 0 to 61")
+    classes = fps.select("fp").distinct()
+    roots = components(links(classes, distance)).withColumnRenamed("node", "fp")
+    return checkpoint(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``."""
     fps = checkpoint(fingerprints(docs, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), distance))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = checkpoint(linked)
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    classes = linked_classes(fps, distance)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(classes, "fp")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = first.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are first of their component.
 
-    The first is the row with the smallest doc_id; of rows with that id again
-    one stays. Rows with a null doc_id in a component with none other count as
-    one.
+    The first is the row with the smallest doc_id, and of different texts under
+    that id the one with the smaller hash; a row without an id is first only if
+    all are. Of equal rows one stays.
     """
     names = docs.columns
-    found = simhash_components(docs, shingle, distance)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*names)
+    fps = checkpoint(fingerprints(docs, shingle))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "check")
+    first = fps.groupBy("fp").agg(F.min(row).alias("row")).join(linked_classes(fps, distance), "fp")
+    keep = first.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"), F.col("row.check").alias("__check"))
+    key, check = _row_key()
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key"), check.alias("__check"))
+    return rows.join(keep, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*(f"`{c}`" for c in names))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
