@@ -143,7 +143,9 @@ def repeats(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Runs that repeat as a whole, and texts' windows that repeat otherwise: (key, at) both."""
     occurring = _all_runs(texts, length)
     counted = occurring.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(_occurrence()).alias("first"))
-    shared = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter(F.col("total") > 1).select("anchor", "kinds")
+    # ``first`` is asked for so that both reads of ``counted`` are one exchange.
+    shared = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.min("first").alias("any"))
+    shared = shared.filter((F.col("total") > 1) & F.col("any").isNotNull()).select("anchor", "kinds")
     known = counted.join(shared, "anchor").select("anchor", "run", "n", "first", (F.col("kinds") > 1).alias("differs"))
     # A run alone among others of its anchor is extended; of equal runs one stands for all, with twice the weight.
     flagged = checkpoint(
