@@ -8,8 +8,9 @@ the pieces bound the bins from below. Where both agree the partition is
 certified: its packing can't be improved, and it offers only its loosest bin.
 A partition with a gap keeps its full bins and offers the pieces of the others.
 What is offered is exchanged: dealt to fewer partitions and packed again, until
-all is certified, one partition holds the rest, or ``rounds`` have passed. A
-round that does not save bins is not used.
+all is certified, one partition holds the rest, or ``rounds`` have passed. Then
+the bound is taken over all bins that are not full, and if it shows a gap their
+pieces are exchanged once more. A round that does not save bins is not used.
 
 The pieces are checkpointed before they are dealt, and each round after it, so
 a lost executor never sees another deal. A task holds the numbers of at most
@@ -129,7 +130,11 @@ def cut(docs: DataFrame, source: str, capacity: int, end_id: int | None, keep_id
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: the best of three families of dual feasible functions, in exact integers."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The same of the number of pieces by length."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ sizes) // capacity)
     present = np.flatnonzero(counts[: capacity // 2 + 1])
@@ -201,11 +206,11 @@ def _round(pieces: DataFrame, capacity: int, number: int) -> DataFrame:
         base = (number << 56) + (TaskContext.get().partitionId() << 28)
         loose = np.zeros(len(lengths), np.int64)
         loose[0] = int((~settles).sum())
-        out = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("settled", pa.array(settles[bins])).append_column("bins", pa.array(loose))
+        out = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("fill", pa.array(fills[bins])).append_column("settled", pa.array(settles[bins])).append_column("bins", pa.array(loose))
         yield from out.combine_chunks().to_batches()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return pieces.select(*names).mapInArrow(run, ", ".join([*fields, "sequence_id long, offset long, settled boolean, bins long"]))
+    return pieces.select(*names).mapInArrow(run, ", ".join([*fields, "sequence_id long, offset long, fill long, settled boolean, bins long"]))
 
 
 def pack(pieces: DataFrame, capacity: int, rounds: int = 4) -> DataFrame:
@@ -237,7 +242,30 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 4) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*names, "sequence_id", "offset")
+    return _exchange_rest(out, capacity, rounds + 1).select(*names, "sequence_id", "offset")
+
+
+def _exchange_rest(packed: DataFrame, capacity: int, number: int) -> DataFrame:
+    """The packing, or one of fewer bins: what certified partitions waste between them is seen only over all.
+
+    The lengths of all bins that aren't full, counted by length, bound those
+    bins' number over all partitions. Where there is a gap, their pieces are
+    exchanged once more, whichever partition they came from.
+    """
+    names = [c for c in packed.columns if c not in ("sequence_id", "offset", "fill", "settled", "bins")]
+    loose = packed.filter(F.col("fill") < capacity)
+    counted = loose.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in counted:
+        counts[row["length"]] = row["n"]
+    bins = loose.agg(F.countDistinct("sequence_id")).first()[0]
+    if bins <= bound_of_counts(counts, capacity):
+        return packed
+    tasks = max(1, -(-int(counts.sum()) // ROWS))
+    again = checkpoint(_round(loose.select(*names).repartition(tasks), capacity, number))
+    if again.agg(F.countDistinct("sequence_id")).first()[0] >= bins:
+        return packed
+    return packed.filter(F.col("fill") == capacity).unionByName(again)
 
 
 def pack_documents(docs: DataFrame, source: str, capacity: int = 1024, end_id: int | None = 2, keep_ids: bool = False, rounds: int = 4) -> DataFrame:
