@@ -23,6 +23,7 @@ alone. Repeated rows are packed each. An empty table gives an empty result.
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from quiverine.llm.common import checkpoint, read, small_batches
 from quiverine.llm.pieces import Memo, parts
 
-#: Pieces that a task of a later round packs.
+#: Pieces, about, that are packed together.
 ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -184,17 +185,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _round(pieces: DataFrame, capacity: int, number: int) -> DataFrame:
-    """Pack each partition; ``settled`` says which rows stay where they are.
+    """Pack each partition, in stretches of about ``ROWS`` rows; ``settled`` says which rows stay where they are.
 
     Bins are numbered by round, partition and place. ``bins`` is, on one row of
-    each partition, the bins that its unsettled rows take now.
+    each stretch, the bins that its unsettled rows take now.
     """
     names = [f.name for f in pieces.schema]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
+    def settle(table: pa.Table, base: int) -> tuple[pa.Table, int]:
         lengths = table.column("length").to_numpy()
         bins, offsets, fills = best_fit(lengths, capacity)
         settles = np.ones(len(fills), bool)
@@ -203,11 +201,23 @@ def _round(pieces: DataFrame, capacity: int, number: int) -> DataFrame:
                 settles[int(fills.argmin())] = False
         else:
             settles = fills == capacity
-        base = (number << 56) + (TaskContext.get().partitionId() << 28)
         loose = np.zeros(len(lengths), np.int64)
         loose[0] = int((~settles).sum())
-        out = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("fill", pa.array(fills[bins])).append_column("settled", pa.array(settles[bins])).append_column("bins", pa.array(loose))
-        yield from out.combine_chunks().to_batches()
+        added = (("sequence_id", bins + base), ("offset", offsets), ("fill", fills[bins]), ("settled", settles[bins]), ("bins", loose))
+        for name, values in added:
+            table = table.append_column(name, pa.array(values))
+        return table, base + len(fills)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (number << 56) + (TaskContext.get().partitionId() << 32)
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= ROWS):
+                table, base = settle(pa.Table.from_batches(held), base)
+                held = []
+                yield from table.combine_chunks().to_batches()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
     return pieces.select(*names).mapInArrow(run, ", ".join([*fields, "sequence_id long, offset long, fill long, settled boolean, bins long"]))
