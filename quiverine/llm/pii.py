@@ -229,13 +229,13 @@ class Masker:
         """(start, end, kind, pseudonym) of every find, in order, without overlaps."""
         out: list[tuple[int, int, str, str]] = []
         free = lambda a, b: all(b <= x[0] or a >= x[1] for x in out)
-        if "@" in text or _DIGIT.search(text):
-            for kind, may, pattern, new in self.finders:
-                if may(text):
-                    for m in pattern.finditer(text):
-                        own = free(*m.span()) and new(m.group())
-                        if own:
-                            out.append((*m.span(), kind, own))
+        digits = _DIGIT.search(text) is not None
+        for kind, may, pattern, new in self.finders:
+            if (digits or pattern in (_EMAIL, _KEY_ID)) and may(text):
+                for m in pattern.finditer(text):
+                    own = free(*m.span()) and new(m.group())
+                    if own:
+                        out.append((*m.span(), kind, own))
         if "=" in text or ":" in text:
             out += [(*m.span(1), "secret", self._secret(m.group(1))) for m in _SECRET.finditer(text) if free(*m.span(1))]
         return sorted(out)
