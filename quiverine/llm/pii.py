@@ -29,7 +29,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverine.llm.common import read, small_batches
@@ -291,5 +291,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: doc_id, the masked text, the finds, and their number by kind."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     masked = mask_documents(docs)
-    counts = [F.size(F.filter("__finds", lambda f, k=k: f["kind"] == k)).alias(f"n_{k}") for k in KINDS]
-    return masked.select("doc_id", "text", *counts, F.size("__finds").alias("n_found"), F.sha2("text", 256).alias("text_sha256"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("__finds", lambda f: f["kind"] == kind)).alias(f"n_{kind}")
+
+    return masked.select("doc_id", "text", *map(number, KINDS), F.size("__finds").alias("n_found"), F.sha2("text", 256).alias("text_sha256"))

@@ -39,6 +39,21 @@ def test_the_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
 
+TABLES = {"op7_url_filters": "pages", "op8_exact_topk": None}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_run_over_whole_tables(spark, name):
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    table = TABLES.get(name, "documents")
+    if table:
+        key = "page_id" if table == "pages" else "doc_id"
+        assert {r[key] for r in got} == {r[key] for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key).collect()}
+    else:
+        assert len(got) == 50
+
+
 def test_each_operator_has_its_query():
     names = entry.queries()
     for n in range(1, 11):
