@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiverine.llm.common import read, small_batches
 
@@ -266,7 +267,6 @@ def mask_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     small_batches(docs.sparkSession)
     names = docs.columns
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    schema = rows.schema
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
     finds_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
@@ -283,8 +283,8 @@ def mask_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
             finds = pa.array([[{"kind": k, "start": a, "length": b - a} for a, b, k, _ in f] for _, f in done], finds_type)
             yield pa.RecordBatch.from_arrays([*columns, finds], [*names, "__finds"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, "`__finds` array<struct<kind:string,start:int,length:int>>"]))
+    find = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__finds", T.ArrayType(find))]))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
