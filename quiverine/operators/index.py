@@ -18,6 +18,8 @@ from quiverine.operators.events import Event, Listener, tell
 from quiverine.operators.partitions import number_within, sizes
 from quiverine.operators.vectors import as_column, check, numbered
 
+#: Bytes of a training sample on the driver, whatever the width of vectors.
+SAMPLE_BYTES = 256 << 20
 ENCODED = "partition_index int, vector_index int, vector_id string, codes array<int>"
 
 
@@ -63,8 +65,9 @@ class IndexBuilder:
         """An index of the vectors of ``df``; ``order`` is a whole number that tells rows apart.
 
         Widths, counts and divisibility are checked before any training.
-        Training sees all vectors of a table of at most ``sample``, else an
-        even sample of about so many; every vector is encoded.
+        Training sees all vectors of a table of at most ``sample`` (and of at
+        most SAMPLE_BYTES), else an even sample of about so many; every vector
+        is encoded.
         """
         vectors = numbered(df, order, vec)
         n, width = check(vectors)
@@ -76,13 +79,14 @@ class IndexBuilder:
         tell(listener, "finish_ids")
         tell(listener, "start_partition")
         inner = (lambda e: tell(listener, "cluster", event=e)) if listener else None
-        block = kmeans.sampled(vectors, self.sample, n)
+        most = max(self.partitions * 8, self.clusters * 8, min(self.sample, SAMPLE_BYTES // (8 * width)))
+        block = kmeans.sampled(vectors, most, n)
         centroids = kmeans.fit_block(block, self.partitions, self.seed, rounds=self.rounds, epsilon=self.epsilon, listener=inner).centroids
         tell(listener, "finish_partition")
         tell(listener, "start_codebook")
         nearest, _ = kmeans.nearest_block(block, centroids)
         residues = vectors.sparkSession.createDataFrame(_residue_rows(block - centroids[nearest]))
-        books = quantize.train_codebooks(residues, self.divisions, self.clusters, width, self.seed, sample=2 * self.sample, rounds=self.rounds, epsilon=self.epsilon)
+        books = quantize.train_codebooks(residues, self.divisions, self.clusters, width, self.seed, sample=2 * most, rounds=self.rounds, epsilon=self.epsilon)
         tell(listener, "finish_codebook")
         return self.encode(vectors, centroids, books)
 

@@ -89,6 +89,16 @@ def spread(rows: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarr
     return np.array(chosen), nearest
 
 
+def sum_by(indices: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The sum of the rows of each of k indices."""
+    order = np.argsort(indices, kind="stable")
+    present, starts = np.unique(indices[order], return_index=True)
+    out = np.zeros((k, rows.shape[1]))
+    if len(present):
+        out[present] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 def moved(old: np.ndarray, new: np.ndarray) -> float:
     """The largest move over the largest new norm; 0 if all new centres are zero."""
     norm = float(np.sqrt((new * new).sum(axis=1)).max())
@@ -113,9 +123,7 @@ def fit_block(rows: np.ndarray, k: int, seed: int = 0, init: np.ndarray | None =
         counts = np.bincount(indices, minlength=k)
         if (counts == 0).any():
             raise InvalidArgs(f"cluster {int((counts == 0).argmax())} is empty")
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, indices, rows)
-        new = sums / counts[:, None]
+        new = sum_by(indices, rows, k) / counts[:, None]
         shift = moved(centroids, new)
         centroids = new
         tell(listener, "finish_update", round=number, shift=shift)
@@ -192,7 +200,7 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.nda
                 rows = matrix(batch.column(0))
                 nearest, _ = nearest_block(rows, centroids)
                 counts += np.bincount(nearest, minlength=k)
-                np.add.at(sums, nearest, rows)
+                sums += sum_by(nearest, rows, k)
         at = np.flatnonzero(counts)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.array(sums[at].tolist(), pa.list_(pa.float64()))], ["cluster", "n", "s"])
