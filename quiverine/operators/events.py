@@ -19,7 +19,7 @@ Listener = Callable[[Event], None]
 
 CLUSTER_EVENTS = ("start_init", "finish_init", "start_update", "finish_update", "start_reassign", "finish_reassign")
 BUILD_EVENTS = ("start_ids", "finish_ids", "start_partition", "cluster", "finish_partition", "start_divide", "finish_divide", "start_codebook", "finish_codebook")
-QUERY_EVENTS = ("start_load", "finish_load", "start_probe", "finish_probe", "start_partition_query", "finish_partition_query", "start_select", "finish_select")
+QUERY_EVENTS = ("start_query", "start_probe", "finish_probe", "start_partition_query", "start_select", "finish_select", "finish_partition_query", "finish_query")
 
 
 def tell(listener: Listener | None, name: str, **detail: Any) -> None:

@@ -83,9 +83,11 @@ class IndexBuilder:
         block = kmeans.sampled(vectors, most, n)
         centroids = kmeans.fit_block(block, self.partitions, self.seed, rounds=self.rounds, epsilon=self.epsilon, listener=inner).centroids
         tell(listener, "finish_partition")
-        tell(listener, "start_codebook")
+        tell(listener, "start_divide", divisions=self.divisions)
         nearest, _ = kmeans.nearest_block(block, centroids)
         residues = vectors.sparkSession.createDataFrame(_residue_rows(block - centroids[nearest]))
+        tell(listener, "finish_divide")
+        tell(listener, "start_codebook")
         books = quantize.train_codebooks(residues, self.divisions, self.clusters, width, self.seed, sample=2 * most, rounds=self.rounds, epsilon=self.epsilon)
         tell(listener, "finish_codebook")
         return self.encode(vectors, centroids, books)
@@ -181,15 +183,25 @@ class Index:
     # Queries
 
     def query(self, vector, k: int, nprobe: int, listener: Listener | None = None) -> DataFrame:
-        """The k nearest of one vector, nearest first: (partition_index, vector_index, vector_id, squared_distance)."""
+        """The k nearest of one vector, nearest first: (partition_index, vector_index, vector_id, squared_distance).
+
+        Events tell what is asked of the cluster; rows come when the result is read.
+        """
         listener = listener or self.listener
+        block = np.asarray(vector, float).reshape(1, -1)
+        query.check_query(block, self.centroids, k, nprobe)
+        tell(listener, "start_query", k=k, nprobe=nprobe)
         tell(listener, "start_probe")
+        probed = query.probe(block, self.centroids, nprobe)[0][0].tolist()
+        tell(listener, "finish_probe", partitions=probed)
+        for p in probed:
+            tell(listener, "start_partition_query", partition=p)
+        tell(listener, "start_select", k=k)
         found = query.knn(self.encoded, vector, self.centroids, self.books, k, nprobe)
-        if listener is not None:
-            for p in query.probe(np.asarray(vector, float).reshape(1, -1), self.centroids, nprobe)[0][0]:
-                tell(listener, "start_partition_query", partition=int(p))
-                tell(listener, "finish_partition_query", partition=int(p))
         tell(listener, "finish_select", k=k)
+        for p in probed:
+            tell(listener, "finish_partition_query", partition=p)
+        tell(listener, "finish_query")
         return found
 
     def query_batch(self, vectors, k: int, nprobe: int) -> DataFrame:

@@ -95,6 +95,18 @@ def test_the_sql_way_answers_alike(spark, index, rows):
     assert [r["vector_id"] for r in got] == [r["vector_id"] for r in index.query(rows[9], 8, 3).collect()]
 
 
+def test_events_of_queries_and_builds(spark, index, rows):
+    from quiverine.operators.events import BUILD_EVENTS, QUERY_EVENTS
+
+    seen = []
+    index.query(rows[0], 3, 2, listener=lambda e: seen.append(e.name))
+    assert set(seen) == set(QUERY_EVENTS)
+    assert seen.count("start_partition_query") == 2
+    seen.clear()
+    IndexBuilder(3, 2, 3, rounds=2).build(from_block(spark, rows, 16), "vec_ord", "vec", listener=lambda e: seen.append(e.name))
+    assert set(seen) == set(BUILD_EVENTS)
+
+
 def test_one_partition(index, rows):
     found = index.query_partition(rows[0], 4, 1000).collect()
     assert {r["partition_index"] for r in found} == {4}
