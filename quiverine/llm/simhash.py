@@ -20,7 +20,6 @@ result.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 
 from quiverine.llm.common import arrow_map, checkpoint, read, small_batches
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: Members of a bucket that one task compares; a larger one is dealt in chunks of half as many.
@@ -40,7 +38,7 @@ BUCKET = 4096
 
 def fingerprint(text: str | None, shingle: int) -> int:
     """The 64-bit fingerprint of a whole text, as a signed integer."""
-    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    words = (text or "").encode().translate(LOWER).split()  # at the bytes 20 and 09 to 0D
     if not words:
         return 0
     line = b" ".join(words)
