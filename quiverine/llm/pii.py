@@ -9,10 +9,13 @@ in every document, however it is punctuated or capitalised, two values never
 share one, and the holder of the key can undo it (``unmask``).
 
 Formats: e-mail addresses (the part before the @), telephone numbers of the
-North American plan, payment cards (Luhn), IBANs (modulus 97), social security
+North American plan and, after + or 00 and a country code, of any other,
+payment cards (Luhn), IBANs (modulus 97), social security
 numbers, IPv4 addresses, calendar dates from 1900 to 2099, and secrets: access
 key ids, and what follows password, token, secret or API key with an equals
-sign or colon. What does not validate is left alone.
+sign or colon. What does not validate is left alone. A North American number
+written with the country code is masked whatever its digits; one without it is
+a number only if neither area code nor exchange begins with 0 or 1.
 
 Defined results: null text stays null and has no finds; text without finds is
 unchanged. Where finds overlap the earlier in the list above wins. Repeated
@@ -42,6 +45,14 @@ DEMO_KEY = b"not a secret: name your own"
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 _PHONE = re.compile(r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+#: Codes as E.164 gives them out; none begins another.
+_COUNTRY = r"(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|50|59|6[789]|8[0578]|9[679])[0-9])"
+#: A group after a space that is an address, a date or a social security number by its layout belongs to no telephone number.
+_OTHER = r"(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})"
+_ABROAD = re.compile(rf"(?<![A-Za-z0-9+])(?:\+|(?<![0-9][ ./-])00 ?(?=[0-9]{{1,3}}[ ./(-])){_COUNTRY}(?: ?\(0\))?(?:(?: {_OTHER}|[./-])?(?:\([0-9]{{1,5}}\)|[0-9]+(?![0-9]))){{1,8}}")
+_TRUNK = re.compile(r"\(0\)")
+#: Digits after the country code, where a plan fixes them; elsewhere E.164 bounds them.
+_LENGTHS = {"1": (10, 10), "7": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "47": (8, 8), "48": (9, 9), "351": (9, 9)}
 _CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -159,12 +170,38 @@ class Masker:
         digits = "".join(_DIGIT.findall(found))
         lead, own = digits[:-10], digits[-10:]
         if own[0] in "01" or own[3] in "01":
-            return None
+            return _relayout(found, lead + self._unassigned(own)) if lead else None
         value = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
         value, line = divmod(self._number(value, 800 * 800 * 10_000, "phone"), 10_000)
         area, exchange = divmod(value, 800)
         return _relayout(found, f"{lead}{area + 200}{exchange + 200}{line:04d}")
 
+    def _unassigned(self, own: str) -> str:
+        """Ten digits whose area code or exchange begins with 0 or 1, permuted among all such."""
+        area, exchange, line = int(own[:3]), int(own[3:6]), int(own[6:])
+        low = 200 * 1000  # area codes below 200 with any exchange, then the others with exchanges below 200
+        value = area * 1000 + exchange if area < 200 else low + (area - 200) * 200 + exchange
+        value, line = divmod(self._number(value * 10_000 + line, (low + 800 * 200) * 10_000, "phone|unassigned"), 10_000)
+        area, exchange = divmod(value, 1000) if value < low else divmod(value - low + 200 * 200, 200)
+        return f"{area:03d}{exchange:03d}{line:04d}"
+
+    def _abroad(self, m: re.Match) -> tuple[int, str] | None:
+        """The longest whole groups of the match that are a number of its country; the rest stays."""
+        text, country = m.group(), m.group(1)
+        head = m.end(1) - m.start()
+        trunk = _TRUNK.search(text, head)
+        body = trunk.end() if trunk else head
+        least, most = _LENGTHS.get(country, (5, 15 - len(country)))
+        for end in range(len(text), body, -1):
+            if text[end - 1] in "0123456789)" and text[end : end + 1] not in [*"0123456789)"]:
+                digits = "".join(_DIGIT.findall(text[body:end]))
+                if least <= len(digits) <= most:
+                    if country == "1":
+                        return end, text[:body] + self._phone("1" + text[body:end])[1:]
+                    new = f"{self._number(int(digits), 10 ** len(digits), f'phone|{country}|{len(digits)}'):0{len(digits)}d}"
+                    return end, text[:body] + _relayout(text[body:end], new)
+        return None
+
     def _card(self, found: str) -> str | None:
         digits = "".join(_DIGIT.findall(found))
         if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
@@ -237,6 +274,12 @@ class Masker:
                     own = free(*m.span()) and new(m.group())
                     if own:
                         out.append((*m.span(), kind, own))
+            lead = {_PHONE: "+", _IBAN: "00"}.get(pattern)  # groups of an IBAN can begin with 00
+            if lead and digits and lead in text:
+                for m in _ABROAD.finditer(text):
+                    own = m.group().startswith(lead) and self._abroad(m)
+                    if own and free(m.start(), m.start() + own[0]):
+                        out.append((m.start(), m.start() + own[0], "phone", own[1]))
         if "=" in text or ":" in text:
             out += [(*m.span(1), "secret", self._secret(m.group(1))) for m in _SECRET.finditer(text) if free(*m.span(1))]
         return sorted(out)

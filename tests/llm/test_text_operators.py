@@ -411,6 +411,34 @@ def test_finds_are_masked_and_come_back(text, kinds):
         assert [f[2] for f in pii.Masker(b"key").finds(masked)] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("+1 (017) 555-7713", ["+1 (017) 555-7713"]), ("call +1 (132) 555-1352, +1 (988) 055-2485 or +1 (073) 155-8658", ["+1 (132) 555-1352", "+1 (988) 055-2485", "+1 (073) 155-8658"]), ("+12125551234", ["+12125551234"]),
+        ("Tel. +49 30 901820, +49 (0)30 901820 or 0049 30 901820.", ["+49 30 901820", "+49 (0)30 901820", "0049 30 901820"]), ("+4930901820", ["+4930901820"]),
+        ("+33 1 42 68 53 00 2024", ["+33 1 42 68 53 00"]), ("(+34 912 34 56 78)", ["+34 912 34 56 78"]), ("+44 (0)20 7946 0958", ["+44 (0)20 7946 0958"]), ("0077672059906506 a+49 7 +33 2 +5", []),
+    ],
+)
+def test_numbers_of_every_plan(text, found):
+    masker = pii.Masker(b"key")
+    masked, finds = masker.mask(text)
+    phones = [f for f in finds if f[2] == "phone"]
+    assert [text[a:b] for a, b, *_ in phones] == found
+    assert [(f[0], f[1]) for f in masker.finds(masked) if f[2] == "phone"] == [(a, b) for a, b, *_ in phones]
+    assert all(own not in masked for own in found)
+    assert pii.unmask(masked, b"key") == text
+
+
+def test_unassigned_numbers_are_permuted_among_themselves():
+    masker, back = pii.Masker(b"key"), pii.Masker(b"key", back=True)
+    for own in ("0000000000", "1999999999", "0179999999", "2000000000", "2001999999", "9990000000", "9991999999"):
+        new = masker._unassigned(own)
+        assert len(new) == 10 and (new[0] in "01" or new[3] in "01")
+        assert back._unassigned(new) == own
+    # Beside an address or a date that follows, the number is masked and they are their own finds.
+    assert [f[2] for f in masker.finds("+49 30 901820 190.1.2.3 and +49 30 901820 2020-02-29")] == ["phone", "ip", "phone", "date"]
+
+
 def test_equal_values_stay_linked():
     masker = pii.Masker(b"key")
     digits = lambda s: "".join(c for c in masker.mask(s)[0] if c.isdigit())
