@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiverine.llm import jaccard
 from quiverine.llm.common import arrow_map, checkpoint, read, small_batches
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,9 +39,15 @@ BUCKET = 4096
 
 def fingerprint(text: str | None, shingle: int) -> int:
     """The 64-bit fingerprint of a whole text, as a signed integer."""
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of every shingle of a whole text, with repeats; one of all words if there are too few."""
     words = (text or "").encode().translate(LOWER).split()  # at the bytes 20 and 09 to 0D
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(line, SEED)]
@@ -49,7 +56,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
         starts = [0, *ends]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
-    return _majority(np.array(hashes, dtype="<u8"))
+    return np.array(hashes, dtype="<u8")
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -72,6 +79,41 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, fp long, key long, check int")
 
 
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """``fingerprints`` with (node, bands): a hash of the set of shingles and its min-hash keys, null without words."""
+    small_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t, shingle) for t in batch.column(3).to_pylist()]
+        fps = pa.array([_majority(h) if len(h) else 0 for h in hashes], pa.int64())
+        found = [jaccard.bands(np.unique(h)) if len(h) else (None, None) for h in hashes]
+        node, keys = pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1), batch.column(2), node, keys], ["doc_id", "fp", "key", "check", "node", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), *_row_key(), F.col("text").cast("string"))
+    return arrow_map(rows, run, "doc_id long, fp long, key long, check int, node long, bands array<long>")
+
+
+def similar_classes(docs: DataFrame, fps: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``classes`` (fp, root) of ``fps`` (see ``signatures``), joined where texts of two have ``similarity`` or more."""
+    nodes = fps.filter("node is not null").groupBy("fp", "node").agg(F.first("bands").alias("bands")).join(classes, "fp")
+    pairs = checkpoint(jaccard.candidates(nodes.select("node", "root", "bands")))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # One row for each set that is compared gives its shingles.
+    row = fps.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
+    row = row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check"))
+    texts = docs.select(*_row_key(), F.col("text").cast("string").alias("text")).join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "hashes"])
+
+    sets = checkpoint(arrow_map(texts, run, "node long, hashes binary"))
+    joined = components(jaccard.verified(pairs, sets, similarity))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return checkpoint(classes.join(joined, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
+
+
 def _row_key() -> tuple[Column, Column]:
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     return F.xxhash64(doc_id, text).alias("key"), F.hash(text, doc_id).alias("check")
@@ -219,17 +261,22 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 3) ->
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are first of their component.
 
     The first is the row with the smallest doc_id, and of different texts under
     that id the one with the smaller hash; a row without an id is first only if
-    all are. Of equal rows one stays.
+    all are. Of equal rows one stays. With ``similarity``, texts whose sets of
+    shingles have that Jaccard similarity or more link too, whatever their
+    fingerprints' distance.
     """
     names = docs.columns
-    fps = checkpoint(fingerprints(docs, shingle))
+    fps = checkpoint((fingerprints if similarity is None else signatures)(docs, shingle))
+    classes = linked_classes(fps, distance)
+    if similarity is not None:
+        classes = similar_classes(docs, fps, classes, shingle, similarity)
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "check")
-    first = fps.groupBy("fp").agg(F.min(row).alias("row")).join(linked_classes(fps, distance), "fp")
+    first = fps.groupBy("fp").agg(F.min(row).alias("row")).join(classes, "fp")
     keep = first.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"), F.col("row.check").alias("__check"))
     key, check = _row_key()
     rows = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key"), check.alias("__check"))

@@ -387,6 +387,30 @@ def test_one_class_scores_nothing(spark):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_texts_of_a_similarity_link(spark):
+    """Pairs on both sides of 0.8, with edits that are scattered: beyond three bits."""
+    rng, texts = random.Random(5), []
+    for k in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        edited = list(own)
+        for at in rng.sample(range(5, 195, 10), 1 + k % 10):
+            edited[at] = "Changed"
+        texts += [" ".join(own), " ".join(edited)]
+    texts += [texts[0].upper(), None, "", "one", "one", "two words"]
+
+    def sets(t):
+        words = t.lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    near = [len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) for a, b in zip(texts[:120:2], texts[1:120:2])]
+    far = [bin((simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)) & (1 << 64) - 1).count("1") > 3 for a, b in zip(texts[:120:2], texts[1:120:2])]
+    assert any(n and f for n, f in zip(near, far)) and not all(near)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    left = {r["doc_id"] for r in simhash.near_dedup(df, 5, 3, similarity=0.8).collect()}
+    gone = {2 * k + 1 for k in range(60) if near[k] or not far[k]} | {120, 122, 124}
+    assert left == set(range(len(texts))) - gone
+
+
 # PII
 
 
