@@ -55,6 +55,15 @@ _TRUNK = re.compile(r"\(0\)")
 _LENGTHS = {"1": (10, 10), "7": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "47": (8, 8), "48": (9, 9), "351": (9, 9)}
 _CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country, as far as its plan is known here.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS VA", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])")
@@ -211,6 +220,24 @@ class Masker:
         own = f"{digits[0]}{value:0{body}d}"
         return _relayout(found, f"{own}{luhn(own)}")
 
+    def _ibans(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, pseudonym): of each match the longest part that ends at a word border and validates.
+
+        Capitals and digits beside a number belong to the match; a search goes
+        on behind what validates, else one character on.
+        """
+        at = 0
+        while m := _IBAN.search(text, at):
+            at, found = m.start() + 1, m.group()
+            cuts = [len(found), *(k for k in range(len(found) - 1, 14, -1) if found[k] == " ")]
+            fixed = _IBAN_LENGTHS.get(found[:2])
+            cuts.sort(key=lambda k: len(found[:k].replace(" ", "")) != fixed)  # its country's length first
+            for k in cuts:
+                if len(found[:k].replace(" ", "")) >= 15 and (new := self._iban(found[:k])):
+                    yield m.start(), m.start() + k, new
+                    at = m.start() + k
+                    break
+
     def _iban(self, found: str) -> str | None:
         plain = found.replace(" ", "")
         as_number = lambda s: int("".join(str(int(c, 36)) for c in s))
@@ -270,7 +297,12 @@ class Masker:
         digits = _DIGIT.search(text) is not None
         for kind, may, pattern, new in self.finders:
             if (digits or pattern in (_EMAIL, _KEY_ID)) and may(text):
-                for m in pattern.finditer(text):
+                if pattern is _IBAN:
+                    out += [(a, b, kind, own) for a, b, own in self._ibans(text) if free(a, b)]
+                    matches = ()
+                else:
+                    matches = pattern.finditer(text)
+                for m in matches:
                     own = free(*m.span()) and new(m.group())
                     if own:
                         out.append((*m.span(), kind, own))

@@ -463,6 +463,22 @@ def test_unassigned_numbers_are_permuted_among_themselves():
     assert [f[2] for f in masker.finds("+49 30 901820 190.1.2.3 and +49 30 901820 2020-02-29")] == ["phone", "ip", "phone", "date"]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]), ("DE89370400440532013000 2024 now", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]), ("NO93 8601 1117 947 EUR", ["NO93 8601 1117 947"]),
+        ("AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]), ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []),
+    ],
+)
+def test_ibans_beside_capitals_and_digits(text, found):
+    masker = pii.Masker(b"key")
+    masked, finds = masker.mask(text)
+    assert [text[a:b] for a, b, kind, _ in finds if kind == "iban"] == found
+    assert all(own not in masked for own in found)
+    assert pii.unmask(masked, b"key") == text
+
+
 def test_equal_values_stay_linked():
     masker = pii.Masker(b"key")
     digits = lambda s: "".join(c for c in masker.mask(s)[0] if c.isdigit())
