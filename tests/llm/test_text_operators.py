@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -312,6 +313,20 @@ def test_documents_without_a_language_go(clashing, rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, expected))
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_unlearned_languages_and_gibberish_go(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    gibberish = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)) for _ in range(5)]
+    junk = [*gibberish, "a 1234 5678 ### " * 20, "漢字 の 日本語 の 文章 です " * 5, "это русский текст о погоде и о жизни в городе " * 4, "bu türkçe bir metindir ve hava durumu hakkında bilgi verir " * 4]
+    more = spark.createDataFrame([(10**6 + k, t, None, None, len(t)) for k, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert not {d for d in kept if d >= 10**6}
+    assert len(kept) >= 0.99 * docs.count()
+
+
 def test_nothing_to_learn_from(docs, rows):
     got = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in got} == {"und"}
