@@ -337,6 +337,17 @@ def index_build_random(spark: SparkSession, sf: str) -> DataFrame:
     return index_rows(IndexBuilder(P, D, C, rounds=20).build(_embeddings(spark, sf)).query(_rows(spark, sf, 3, 3)[0], K, NPROBE))
 
 
+def knn_batch_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of every vector whose id is divisible by 50, by a trained index of one code for each element that probes all partitions."""
+    rows = _vectors(spark, sf).filter(F.col("vec_ord") % 50 == 0).orderBy("vec_ord").toArrow()
+    index = IndexBuilder(P, SIZE, 64).build(_embeddings(spark, sf), order="vec_id", vec="embedding")
+    found = index.query_batch(matrix(rows.column("vec").combine_chunks()), K, P)
+    asked = spark.createDataFrame(list(enumerate(rows.column("vec_ord").to_pylist())), "query_id long, asked_id long")
+    ids = index.encoded.select("partition_index", "vector_index", F.col("vec_ord").alias("vec_id"))
+    found = found.join(ids, ["partition_index", "vector_index"]).join(asked, "query_id")
+    return found.select(F.col("asked_id").alias("query_id"), "vec_id", r6("squared_distance").alias("squared_distance"))
+
+
 QUERIES = {
     "vec_dot": _scalar(lambda: V.dot("x", "y"), "dot"),
     "vec_norm2": _scalar(lambda: V.norm2("x"), "norm2"),
@@ -386,6 +397,7 @@ QUERIES = {
     "content_id": content_ids,
     "index_roundtrip": index_roundtrip,
     "index_build_random": index_build_random,
+    "knn_batch_trained": knn_batch_trained,
 }
 
 # The same in SQL.

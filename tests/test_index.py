@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +238,21 @@ def test_streams_of_queries(spark, index, rows, tmp_path):
 def test_numbered(spark):
     df = spark.createDataFrame([(4, [1.0])], "id int, v array<float>")
     assert numbered(df, "id", "v").first().asDict() == {"vec_ord": 4, "vec": [1.0]}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables")
+def test_recall_of_the_registered_batch(spark):
+    from quiverine.plans import catalog
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").select("vec_id", "embedding").collect()
+    vectors = np.array([r["embedding"] for r in rows])
+    got = {}
+    for r in catalog.QUERIES["knn_batch_trained"](spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == {r["vec_id"] for r in rows if r["vec_id"] % 50 == 0}
+    right = 0
+    for k in got:
+        nearest = np.argsort(((vectors - vectors[k]) ** 2).sum(axis=1), kind="stable")[:10]
+        right += len(got[k] & {rows[i]["vec_id"] for i in nearest})
+    assert right >= 0.9 * 10 * len(got)
