@@ -59,11 +59,11 @@ def names(log: DataFrame) -> DataFrame:
 
 
 def encode_names(log: DataFrame, dictionary: DataFrame) -> DataFrame:
-    return log.join(F.broadcast(dictionary), "name").drop("name")  # the distinct names
+    return log.join(dictionary, "name").drop("name")
 
 
 def decode_names(log: DataFrame, dictionary: DataFrame) -> DataFrame:
-    return log.join(F.broadcast(dictionary), "name_index").drop("name_index")
+    return log.join(dictionary, "name_index").drop("name_index")
 
 
 def with_attribute(rows: DataFrame, attributes: DataFrame, name: str, to: str = "value") -> DataFrame:
@@ -80,10 +80,12 @@ def all_attributes(encoded: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def check_log(log: DataFrame, encoded: DataFrame) -> None:
-    """Raise if a value is missing, or stands under a partition that doesn't hold its vector."""
-    empty = log.filter(F.col("vector_id").isNull() | F.col("name").isNull() | F.col("value").isNull() | (F.col("value.string_value").isNull() & F.col("value.uint64_value").isNull()))
-    stray = log.select("partition_index", "vector_id").distinct().join(encoded.select("partition_index", "vector_id"), ["partition_index", "vector_id"], "left_anti")
-    if not empty.isEmpty():
+    """Raise if a value is missing, or stands under a partition that doesn't hold its vector; one job."""
+    empty = F.col("vector_id").isNull() | F.col("name").isNull() | F.col("value").isNull() | (F.col("value.string_value").isNull() & F.col("value.uint64_value").isNull())
+    held = encoded.select("partition_index", "vector_id", F.lit(True).alias("held"))
+    found = log.join(held, ["partition_index", "vector_id"], "left")
+    empties, strays = found.agg(F.count(F.when(empty, 1)), F.count(F.when(F.col("held").isNull(), 1))).first()
+    if empties:
         raise InvalidData("an attribute log holds an entry without id, name or value")
-    if not stray.isEmpty():
+    if strays:
         raise InvalidData("an attribute log names a vector that its partition doesn't hold")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quiverine.functions import vector as V
 from quiverine.operators.kmeans import nearest_block
-from quiverine.operators.sampling import in_stretches
+from quiverine.operators.sampling import in_order
 from quiverine.operators.vectors import as_column, matrix
 
 
@@ -47,16 +47,16 @@ def sizes(assigned: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def number_within(df: DataFrame, group: str, order: str, to: str = "vector_index") -> DataFrame:
-    """``df`` with each row's place, from 0, within its group in the order of ``order``, a whole number.
+    """``df`` with each row's place, from 0, within its group in the order of ``order``.
 
-    Rows are numbered within stretches of ``order``; a stretch adds what its
-    group holds before it, one row per group and stretch. So no task has to
-    hold a whole group.
+    Rows are written once in the order of group and ``order``, dealt evenly, so
+    a large group spans several stretches and no task holds it. A stretch adds
+    what its group holds in the ones before, one row per group and stretch.
     """
-    parts = in_stretches(df, order)
-    counts = parts.groupBy(group, "__stretch").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(group, "__stretch").orderBy(order)) - 1
-    placed = parts.withColumn("__own", own).join(offsets, [group, "__stretch"])
-    return placed.withColumn(to, (F.col("__own") + F.col("__before")).cast("int")).select(*df.columns, to)
+    parts = in_order(df, group, order)
+    counts = parts.groupBy(group, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__add"))
+    # Stretches and groups are both in order: the rows of ``offsets`` are at most the stretches and the groups together.
+    placed = parts.join(offsets, [group, "__task"])
+    return placed.withColumn(to, (F.col("__at") + F.col("__add")).cast("int")).select(*df.columns, to)

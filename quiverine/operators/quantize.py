@@ -7,7 +7,10 @@ takes part as a whole.
 
 from __future__ import annotations
 
+import pickle
+import threading
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +19,21 @@ from pyspark.sql import functions as F
 
 from quiverine.errors import InvalidArgs
 from quiverine.functions import vector as V
+from quiverine.operators.events import Event, Listener, tell
 from quiverine.operators.kmeans import EPSILON_FLOAT, ROUNDS, fit_block, nearest_block
 from quiverine.operators.vectors import as_column, matrix
+from quiverine.sources.tables import keep
 
 
-def train_codebooks(residues: DataFrame, divisions: int, codes: int, vector_size: int, seed: int = 0, sample: int = 65_536, rounds: int = ROUNDS, epsilon: float = EPSILON_FLOAT) -> np.ndarray:
-    """The codebooks (divisions, codes, width) of (vec_ord, residue)."""
+def train_codebooks(
+    residues: DataFrame, divisions: int, codes: int, vector_size: int, seed: int = 0, sample: int = 65_536, rounds: int = ROUNDS, epsilon: float = EPSILON_FLOAT, listener: Listener | None = None
+) -> np.ndarray:
+    """The codebooks (divisions, codes, width) of (vec_ord, residue).
+
+    Each division is a job of its own, several at a time; ``listener`` hears
+    when each begins and ends, and the events of its k-means in between, as the
+    task that ran it has noted them.
+    """
     if vector_size % divisions:
         raise InvalidArgs(f"vectors of {vector_size} elements can't be cut into {divisions} equal divisions")
     n = residues.count()
@@ -31,26 +43,31 @@ def train_codebooks(residues: DataFrame, divisions: int, codes: int, vector_size
     if n > sample:
         drawn = F.pmod(F.xxhash64("vec_ord"), F.lit(1 << 40)) / F.lit(float(1 << 40))
         residues = residues.filter(drawn < sample / n)
-    cut = V.divide("residue", divisions, vector_size)
-    slices = residues.select("vec_ord", F.posexplode(cut).alias("division", "sub"))
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        division, order = table.column("division").to_numpy(), table.column("vec_ord").to_numpy()
-        rows = matrix(table.column("sub").combine_chunks())
-        for d in np.unique(division):  # at most ``sample`` rows each
-            own = np.flatnonzero(division == d)
-            book = fit_block(rows[own[np.argsort(order[own], kind="stable")]], codes, seed + 1 + int(d), rounds=rounds, epsilon=epsilon)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(codes, d, np.int32)), pa.array(np.arange(codes, dtype=np.int32)), as_column(book.centroids)], ["division", "code", "code_vector"])
-
-    found = slices.repartition(divisions, "division").mapInArrow(train, "division int, code int, code_vector array<double>").collect()
-    books = np.zeros((divisions, codes, width))
-    for row in found:
-        books[row["division"], row["code"]] = row["code_vector"]
-    return books
+    residues = keep(residues.select("vec_ord", "residue"))
+    telling = threading.Lock()
+
+    def one(d: int) -> np.ndarray:
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]  # at most ``sample`` rows
+            if held:
+                table = pa.Table.from_batches(held)
+                rows = matrix(table.column(1).combine_chunks())[np.argsort(table.column(0).to_numpy(), kind="stable")]
+                noted: list[Event] = []
+                book = fit_block(rows, codes, seed + 1 + d, rounds=rounds, epsilon=epsilon, listener=noted.append)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(codes, dtype=np.int32)), as_column(book.centroids), pa.array([pickle.dumps(noted)] + [None] * (codes - 1))], ["code", "code_vector", "noted"])
+
+        with telling:
+            tell(listener, "start_quantize", division=d)
+        slices = residues.select("vec_ord", F.slice("residue", d * width + 1, width)).repartition(1)
+        found = slices.mapInArrow(train, "code int, code_vector array<double>, noted binary").collect()
+        with telling:
+            for event in pickle.loads(next(bytes(r["noted"]) for r in found if r["noted"] is not None)):
+                tell(listener, "cluster", event=event, division=d)
+            tell(listener, "finish_quantize", division=d)
+        return np.array([r["code_vector"] for r in sorted(found, key=lambda r: r["code"])])
+
+    with ThreadPoolExecutor(min(divisions, 16)) as pool:
+        return np.stack(list(pool.map(one, range(divisions))))
 
 
 def codes_of(rows: np.ndarray, books: np.ndarray) -> np.ndarray:

@@ -7,20 +7,26 @@ probed partitions hold fewer.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quiverine.errors import InvalidArgs
 from quiverine.functions import vector as V
-from quiverine.operators.vectors import matrix
-
-#: Queries whose distance tables are held by a task at once.
-QUERY_BLOCK = 256
+from quiverine.operators.vectors import as_column, matrix
+from quiverine.sources.tables import keep
+
+#: Queries that one scan answers, and that meet a piece of a partition at once; and their bytes.
+QUERY_ROWS, QUERY_BYTES = 16_384, 64 << 20
+#: Vectors of a partition that one task holds against the queries of a table.
+PIECE = 1 << 18
+#: What is sent to every task at most: centres, codebooks and a block of queries.
+BROADCAST_BYTES = 512 << 20
 RESULT = "query_id long, partition_index int, vector_index int, vector_id string, squared_distance double"
 
 
@@ -37,7 +43,7 @@ def check_query(queries: np.ndarray, centroids: np.ndarray, k: int, nprobe: int)
 
 def probe(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.ndarray]:
     """The nearest partitions of each query, nearest first, and their squared distances."""
-    distance = ((queries[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+    distance = np.stack([((centroids - q) ** 2).sum(axis=1) for q in queries]) if len(queries) else np.zeros((0, len(centroids)))
     order = np.argsort(distance, axis=1, kind="stable")[:, :nprobe]
     return order, np.take_along_axis(distance, order, axis=1)
 
@@ -49,44 +55,45 @@ def distance_table(query: np.ndarray, centroid: np.ndarray, books: np.ndarray) -
     return ((local - books) ** 2).sum(axis=2)
 
 
+def table_distances(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of codes (rows, divisions) by a distance table."""
+    return table[np.arange(table.shape[0]), codes].sum(axis=1)
+
+
+def nearest_rows(distance: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k least, and of all that tie with the last of them."""
+    return np.arange(len(distance)) if len(distance) <= k else np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+
+
+def _sent(spark: SparkSession, *arrays: np.ndarray):
+    """Arrays, broadcast behind a check of their size."""
+    size = sum(a.nbytes for a in arrays)
+    if size > BROADCAST_BYTES:
+        raise InvalidArgs(f"centres, codebooks or queries of {size} bytes; at most {BROADCAST_BYTES} are sent to every task")
+    return spark.sparkContext.broadcast(arrays)
+
+
 def scan(encoded: DataFrame, queries: np.ndarray, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int, first_id: int = 0) -> DataFrame:
-    """The k best rows of each query and task, of one block of queries.
+    """The k best rows of each query and task, of queries of a bounded number of bytes.
 
     Probing is done here, on the centres, so the scan's filter names the
     partitions and reads no others. Each task keeps k rows for each query.
     """
     probes, _ = probe(queries, centroids, nprobe)
-    by_partition: dict[int, list[int]] = {}
-    for q, own in enumerate(probes):
-        for p in own:
-            by_partition.setdefault(int(p), []).append(q)
-    sent = encoded.sparkSession.sparkContext.broadcast((queries, centroids, books, by_partition))  # one block of queries, and the index's centres
+    sent = _sent(encoded.sparkSession, queries, centroids, books, probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, centroids, books, by_partition = sent.value
-        tables: dict[tuple[int, int], np.ndarray] = {}
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        divisions = np.arange(books.shape[0])
+        queries, centroids, books, probes = sent.value
+        best: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            partition = batch.column(0).to_numpy()
-            index = batch.column(1).to_numpy()
-            ids = batch.column(2)
+            partition, index = (batch.column(c).to_numpy() for c in (0, 1))
             codes = matrix(batch.column(3)).astype(np.int64)
             for p in np.unique(partition):
                 at = np.flatnonzero(partition == p)
-                for q in by_partition.get(int(p), ()):
-                    table = tables.get((q, int(p)))
-                    if table is None:
-                        if len(tables) >= 4 * QUERY_BLOCK:
-                            tables.clear()
-                        table = tables[q, int(p)] = distance_table(queries[q], centroids[p], books)
-                    d = table[divisions, codes[at]].sum(axis=1)
-                    near = at if len(at) <= k else at[np.argpartition(d, k - 1)[:k]]
-                    if len(at) > k:  # ties at the border are settled by the order below
-                        near = at[d <= np.partition(d, k - 1)[k - 1]]
-                    own = (np.full(len(near), p), index[near], np.array(ids.take(pa.array(near)).to_pylist(), object), d[np.searchsorted(at, near)])
+                for q in np.flatnonzero((probes == p).any(axis=1)).tolist():
+                    d = table_distances(distance_table(queries[q], centroids[p], books), codes[at])
+                    near = nearest_rows(d, k)
+                    own = (np.full(len(near), p), index[at[near]], np.array(batch.column(2).take(pa.array(at[near])).to_pylist(), object), d[near])
                     if q in best:
                         own = tuple(np.concatenate(x) for x in zip(best[q], own, strict=True))
                     order = np.lexsort((own[1], own[0], own[3]))[:k]
@@ -94,13 +101,17 @@ def scan(encoded: DataFrame, queries: np.ndarray, centroids: np.ndarray, books:
         if best:
             n = [len(b[0]) for b in best.values()]
             columns = [np.concatenate(x) for x in zip(*best.values(), strict=True)]
-            query_id = np.repeat(np.fromiter(best, np.int64), n) + first_id
-            yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(columns[0].astype(np.int32)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2], pa.string()), pa.array(columns[3].astype(float))], ["query_id", "partition_index", "vector_index", "vector_id", "squared_distance"])
+            yield _found(np.repeat(np.fromiter(best, np.int64), n) + first_id, *columns)
 
-    probed = encoded.filter(F.col("partition_index").isin(sorted(by_partition)))
+    probed = encoded.filter(F.col("partition_index").isin(np.unique(probes).tolist()))
     return probed.select("partition_index", "vector_index", "vector_id", "codes").mapInArrow(run, RESULT)
 
 
+def _found(query_id: np.ndarray, partition: np.ndarray, index: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(query_id), pa.array(partition.astype(np.int32)), pa.array(index.astype(np.int32)), pa.array(ids, pa.string()), pa.array(distance.astype(float))]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "partition_index", "vector_index", "vector_id", "squared_distance"])
+
+
 def best_rows(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query."""
     order = Window.partitionBy("query_id").orderBy("squared_distance", "partition_index", "vector_index")
@@ -108,18 +119,83 @@ def best_rows(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_batch(encoded: DataFrame, queries: np.ndarray, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int) -> DataFrame:
-    """The k best of every query, in blocks of queries."""
+    """The k best of every query at hand: one scan of the vectors for up to ``QUERY_BYTES`` of queries. ``knn_table`` takes more than a driver holds."""
     queries = np.asarray(queries, float)
     check_query(queries, centroids, k, nprobe)
+    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, queries.shape[1]))))
     found = None
-    for a in range(0, len(queries), QUERY_BLOCK):
-        own = scan(encoded, queries[a : a + QUERY_BLOCK], centroids, books, k, nprobe, a)
+    for a in range(0, len(queries), most):
+        own = scan(encoded, queries[a : a + most], centroids, books, k, nprobe, a)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return encoded.sparkSession.createDataFrame([], RESULT)
     return best_rows(found, k)
 
 
+def knn_table(encoded: DataFrame, sizes: DataFrame, queries: DataFrame, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int) -> DataFrame:
+    """The k best of every row of a table (query_id, vec) of any size; ``sizes`` is (partition_index, num_vectors).
+
+    A query goes to its probed partitions, and meets there pieces of at most
+    ``PIECE`` vectors; a partition that many queries ask for is met by them in
+    blocks of about ``QUERY_ROWS``. So neither a large partition nor one that
+    is often asked for is one task's.
+    """
+    check_query(np.zeros((0, centroids.shape[1])), centroids, k, nprobe)
+    sent = _sent(encoded.sparkSession, centroids, books)
+    width = centroids.shape[1]
+
+    def localize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, _ = sent.value
+        for batch in batches:
+            for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+                rows = matrix(part.column(1)) if len(part.column(1).flatten()) == width * part.num_rows else np.zeros((0, 0))
+                check_query(rows, centroids, k, nprobe)
+                near, _ = probe(rows, centroids, nprobe)
+                local = rows.repeat(nprobe, axis=0) - centroids[near.ravel()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.arange(len(rows)).repeat(nprobe))), pa.array(near.ravel().astype(np.int32)), as_column(local)], ["query_id", "partition_index", "local"])
+
+    asked = keep(queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(localize, "query_id long, partition_index int, local array<double>"))
+    # A row for each partition of the index.
+    demand = asked.groupBy("partition_index").agg(F.count("*").alias("n")).join(sizes, "partition_index")
+    demand = demand.select("partition_index", F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("blocks"), F.ceil(F.col("num_vectors") / PIECE).cast("int").alias("pieces"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to = asked.join(F.broadcast(demand), "partition_index").select(
+        "partition_index", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), each("pieces").alias("piece"), F.lit(1).alias("side"), "query_id", "local",
+        F.lit(None).cast("int").alias("vector_index"), F.lit(None).cast("string").alias("vector_id"), F.lit(None).cast("array<int>").alias("codes"),
+    )
+    own = encoded.join(F.broadcast(demand), "partition_index").select(
+        "partition_index", each("blocks").alias("block"), F.floor(F.col("vector_index") / PIECE).cast("int").alias("piece"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"),
+        F.lit(None).cast("array<double>").alias("local"), "vector_index", "vector_id", "codes",
+    )
+    key = ["partition_index", "block", "piece"]
+    meeting = own.unionByName(to).repartition(*key).sortWithinPartitions(*key, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, books = sent.value
+        at, held, piece = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            for a, b in itertools.pairwise([*np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]).tolist(), batch.num_rows]):
+                part, now = batch.slice(a, b - a), tuple(keys[:3, a])
+                if now != at:
+                    at, held, piece = now, [], None
+                if keys[3, a] == 0:
+                    held.append((part.column("vector_index").to_numpy(), np.array(part.column("vector_id").to_pylist(), object), matrix(part.column("codes")).astype(np.int64)))
+                    continue
+                if piece is None and held:
+                    piece, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), []
+                if piece is None:
+                    continue
+                index, ids, codes = piece
+                for query_id, local in zip(part.column("query_id").to_pylist(), matrix(part.column("local")), strict=True):
+                    d = table_distances(distance_table(local, np.zeros(width), books), codes)
+                    near = nearest_rows(d, k)
+                    near = near[np.lexsort((index[near], d[near]))[:k]]
+                    yield _found(np.full(len(near), query_id), np.full(len(near), now[0]), index[near], ids[near], d[near])
+
+    return best_rows(meeting.mapInArrow(run, RESULT), k)
+
+
 def knn(encoded: DataFrame, query, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int) -> DataFrame:
     """The k best of one query, nearest first."""
     block = np.asarray(query, float).reshape(1, -1)

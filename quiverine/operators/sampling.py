@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quiverine.errors import InvalidArgs
+from quiverine.sources.tables import keep
 
 
 class WeightedIndex:
@@ -58,35 +59,38 @@ class WeightedIndex:
         return self.at(uniform(self.total))
 
 
-#: Rows of a stretch, about, if their order numbers lie evenly.
-STRETCH = 100_000
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """``df``, written in the order of columns: ``__task`` numbers its stretches in that order, ``__at`` rises within one.
 
-
-def in_stretches(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``__stretch``, which cuts the range of the whole number ``order`` into even stretches."""
-    n, least, most = df.agg(F.count("*"), F.min(order), F.max(order)).first()
-    width = max(1, (int(most) - int(least) + 1) * STRETCH // n) if n and least is not None else 1
-    return df.withColumn("__stretch", F.floor((F.col(order).cast("long") - F.lit(int(least or 0))) / width))
+    Rows are dealt by the range of the columns, whatever their values' spread,
+    so a stretch holds about its even share of the rows.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return keep(dealt.withColumn("__task", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
 
 
 def cumulative(df: DataFrame, order: str, weight: str, to: str = "cumulative") -> DataFrame:
-    """``df`` with the running total of ``weight`` in the order of the whole number ``order``.
+    """``df`` with the running total of ``weight`` in the order of ``order``.
 
     Stretches of rows are summed first, one row each, so that no task runs
     over all rows.
     """
     value = F.col(weight).cast("double")
-    parts = in_stretches(df, order)
-    sums = parts.groupBy("__stretch").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__before"))
-    own = Window.partitionBy("__stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = parts.withColumn("__own", F.sum(value).over(own)).join(offsets, "__stretch")
+    parts = in_order(df, order)
+    sums = parts.groupBy("__task").agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__task", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__before"))
+    own = Window.partitionBy("__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("__own", F.sum(value).over(own)).join(offsets, "__task")
     return summed.withColumn(to, F.col("__own") + F.col("__before")).select(*df.columns, to)
 
 
 def sample_at(df: DataFrame, order: str, weight: str, u: Column | float) -> DataFrame:
     """The row that a draw of ``u`` picks: the first in order, of positive weight, whose running total is over ``u``."""
     u = u if isinstance(u, Column) else F.lit(float(u))
-    picked = cumulative(df, order, weight).filter((F.col("cumulative") > u) & (F.col(weight) > 0))
-    return picked.orderBy(order).limit(1)
+    return first_over(cumulative(df, order, weight), order, weight, u)
+
+
+def first_over(totals: DataFrame, order: str, weight: str, u: Column) -> DataFrame:
+    """The same of running totals at hand."""
+    return totals.filter((F.col("cumulative") > u) & (F.col(weight) > 0)).orderBy(order).limit(1)

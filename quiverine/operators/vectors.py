@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverine.errors import InvalidArgs
@@ -25,13 +27,50 @@ def numbered(df: DataFrame, order: str, vec: str) -> DataFrame:
     return df.select(F.col(order).cast("long").alias("vec_ord"), F.col(vec).cast("array<double>").alias("vec"))
 
 
+@dataclass(frozen=True)
+class Extent:
+    """What one pass tells of a table of vectors."""
+
+    n: int
+    width: int
+    first: int | None = None
+    last: int | None = None
+
+    @property
+    def contiguous(self) -> bool:
+        """Whether the ordinals are all whole numbers from the first to the last."""
+        return self.n > 0 and self.first is not None and self.last - self.first + 1 == self.n
+
+
+def extent(df: DataFrame) -> Extent:
+    """The number of vectors (vec_ord, vec), their width and ordinals, in one pass.
+
+    Raises as ``check`` does, and if an ordinal is null or stands twice.
+    """
+    found = df.agg(*_shape("vec"), F.min("vec_ord"), F.max("vec_ord"), F.count("vec_ord"), F.count_distinct("vec_ord")).first()
+    n, width = _checked(*found[:4])
+    first, last, named, distinct = found[4:]
+    if named != n:
+        raise InvalidArgs(f"{n - named} vectors have no ordinal")
+    if distinct != n:
+        raise InvalidArgs(f"{n} vectors have {distinct} different ordinals")
+    return Extent(n, width, first, last)
+
+
 def check(df: DataFrame, vec: str = "vec") -> tuple[int, int]:
     """The number of vectors and their width, in one pass.
 
     Raises if widths differ, or an element is null or not finite.
     """
+    return _checked(*df.agg(*_shape(vec)).first())
+
+
+def _shape(vec: str) -> list[Column]:
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    n, least, most, wrong = df.agg(F.count("*"), F.min(F.size(vec)), F.max(F.size(vec)), F.count(F.when(F.col(vec).isNull() | bad, 1))).first()
+    return [F.count("*"), F.min(F.size(vec)), F.max(F.size(vec)), F.count(F.when(F.col(vec).isNull() | bad, 1))]
+
+
+def _checked(n: int, least: int | None, most: int | None, wrong: int) -> tuple[int, int]:
     if not n:
         return 0, 0
     if wrong:

@@ -7,12 +7,11 @@ vectors the residual slices of the vectors 10 to 25, the query is vector 3.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quiverine.functions import vector as V
 from quiverine.functions.content import content_id
@@ -20,7 +19,8 @@ from quiverine.operators import attributes as A
 from quiverine.operators import kmeans, partitions, quantize, query, sampling
 from quiverine.operators.index import Index, IndexBuilder
 from quiverine.operators.vectors import divided, matrix, numbered
-from quiverine.sources import storage
+from quiverine.sources import interchange, storage
+from quiverine.sources.tables import work_path
 
 P, D, C, SIZE, K, NPROBE = 10, 8, 16, 64, 10, 3
 WIDTH = SIZE // D
@@ -125,8 +125,13 @@ def kmeans_lloyd2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_train_random(spark: SparkSession, sf: str) -> DataFrame:
-    centres = kmeans.fit(_vectors(spark, sf), P, seed=1, rounds=20)
-    return kmeans.assign(_vectors(spark, sf), centres).groupBy("cluster").agg(F.count("*").alias("n"))
+    """Drawn centres, trained over all vectors: their number, the vectors they hold, and whether another round would move them."""
+    vectors = _vectors(spark, sf)
+    centres = kmeans.centroid_table(spark, kmeans.fit(vectors, P, seed=1))
+    assigned = kmeans.assign_sql(vectors, centres)
+    held = assigned.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.sum("n").alias("n"))
+    moves = kmeans.shift_sql(centres, kmeans.means_sql(vectors, assigned)).select((F.col("shift") > 1e-3).alias("moves"))
+    return held.join(moves)  # one row each
 
 
 def kmeanspp_min_distance(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,9 +147,9 @@ def weighted_cumulative(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_sample_at(spark: SparkSession, sf: str) -> DataFrame:
-    found = None
+    totals, found = sampling.cumulative(_weights(spark, sf), "vec_id", "weight"), None
     for u in (0.0, 10.5, 100.0, 1000.0):
-        own = sampling.sample_at(_weights(spark, sf), "vec_id", "weight", u).select(F.lit(u).alias("u"), "vec_id")
+        own = sampling.first_over(totals, "vec_id", "weight", F.lit(u)).select(F.lit(u).alias("u"), "vec_id")
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -195,10 +200,13 @@ def pq_vector_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pq_train_random(spark: SparkSession, sf: str) -> DataFrame:
-    """Codebooks trained on all residuals: how many vectors have each code."""
+    """Codebooks trained on a sample of at most 65,536 residuals: each division's codes that are in use, its vectors, and those whose code isn't the nearest by built-in expressions."""
     vectors, centres = _vectors(spark, sf), _rows(spark, sf, 0, P - 1)
-    books = quantize.train_codebooks(partitions.residuals(vectors, centres), D, C, SIZE, rounds=20)
-    return _codes(quantize.encode(vectors, centres, books)).groupBy("division", "code").agg(F.count("*").alias("n"))
+    books = quantize.train_codebooks(partitions.residuals(vectors, centres), D, C, SIZE)
+    rows = [(d, c, books[d, c].tolist()) for d in range(D) for c in range(C)]
+    exact = quantize.encode_sql(partitions.residuals_sql(vectors, _assigned(spark, sf), _centres(spark, sf)), spark.createDataFrame(rows, "division int, code int, code_vector array<double>"), D, SIZE)
+    both = _codes(quantize.encode(vectors, centres, books)).join(_codes(exact).withColumnRenamed("code", "nearest"), ["vec_id", "partition_index", "division"])
+    return both.groupBy("division").agg(F.count_distinct("code").alias("codes"), F.count("*").alias("n"), F.count(F.when(F.col("code") != F.col("nearest"), 1)).alias("wrong"))
 
 
 # Queries
@@ -255,20 +263,36 @@ def n_best(spark: SparkSession, sf: str) -> DataFrame:
     return query.n_best(rows, K, "total", "vec_id")
 
 
+def _at_hand(spark: SparkSession, found: list[list]) -> DataFrame:
+    rows = [(q, r.partition_index, r.vector_index, r.squared_distance) for q, own in enumerate(found) for r in own]
+    table = spark.createDataFrame(rows, "query_id long, partition_index int, vector_index int, squared_distance double")
+    return table.select("query_id", "partition_index", "vector_index", r6("squared_distance").alias("squared_distance"))
+
+
 def knn_async(spark: SparkSession, sf: str) -> DataFrame:
     """Two queries side by side, as futures."""
     index = _index(spark, sf)
     asked = [index.query_async(v, K, NPROBE) for v in _rows(spark, sf, 3, 4)]
-    rows = [(q, r["partition_index"], r["vector_index"], r["squared_distance"]) for q, f in enumerate(asked) for r in f.result()]
-    found = spark.createDataFrame(rows, "query_id long, partition_index int, vector_index int, squared_distance double")
+    return _at_hand(spark, [f.result() for f in asked])
+
+
+def knn_search(spark: SparkSession, sf: str) -> DataFrame:
+    """One query answered at once, from partitions that the driver keeps."""
+    return _at_hand(spark, [_index(spark, sf).search(_rows(spark, sf, 3, 3)[0], K, NPROBE)]).drop("query_id")
+
+
+def knn_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector asks for its neighbours."""
+    asked = _vectors(spark, sf).withColumnRenamed("vec_ord", "query_id")
+    found = _index(spark, sf).query_table(asked, K, NPROBE)
     return found.select("query_id", "partition_index", "vector_index", r6("squared_distance").alias("squared_distance"))
 
 
-# Attributes: label (a number) and lang (a text) of even vectors; label is set to 100 + label again where it is under 3.
+# Attributes: label (a number), and lang (a text) where there is a document; label is set to 100 + label again where it is under 3.
 
 
 def _with_attributes(spark: SparkSession, sf: str) -> Index:
-    rows = _embeddings(spark, sf).filter("vec_id % 2 = 0").select(F.col("vec_id").alias("vec_ord"), "label")
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("vec_ord"), "label")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("vec_ord"), "lang").filter("lang is not null")
     index = _index(spark, sf).set_attributes(rows.select("vec_ord", A.number_value(F.col("label")).alias("value")), "label")
     index = index.set_attributes(rows.filter("label < 3").select("vec_ord", A.number_value(F.col("label") + 100).alias("value")), "label")
@@ -310,9 +334,14 @@ def attr_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_with_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    index = _with_attributes(spark, sf)
-    found = index.with_attribute(index.query(_rows(spark, sf, 3, 3)[0], K, NPROBE), "label")
-    return found.select("partition_index", "vector_index", F.col("value.uint64_value").cast("long").alias("label"))
+    return _with_label(_with_attributes(spark, sf), spark, sf).drop("squared_distance")
+
+
+def _with_label(index: Index, spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of vector 3 with their label, from the logs of the probed partitions."""
+    vector = _rows(spark, sf, 3, 3)[0]
+    found = index.with_attribute(index.query(vector, K, NPROBE), "label", partitions=index.probed(vector, NPROBE))
+    return found.select("partition_index", "vector_index", r6("squared_distance").alias("squared_distance"), F.col("value.uint64_value").cast("long").alias("label"))
 
 
 # Storage
@@ -324,28 +353,43 @@ def content_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Save, verify, load, and ask the loaded index, with an attribute."""
-    folder = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/snapshot-{uuid.uuid4().hex}"
+    """Save, load, and ask the loaded index, with an attribute."""
+    folder = work_path(spark, "snapshot")
     storage.save(_with_attributes(spark, sf), folder)
-    index = storage.load(spark, folder)
-    found = index.with_attribute(index.query(_rows(spark, sf, 3, 3)[0], K, NPROBE), "label")
-    return found.select("partition_index", "vector_index", r6("squared_distance").alias("squared_distance"), F.col("value.uint64_value").cast("long").alias("label"))
+    return _with_label(storage.load(spark, folder), spark, sf)
+
+
+def messages_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by message files: every vector that comes back, with its attributes."""
+    index = _with_attributes(spark, sf)
+    folder = work_path(spark, "messages")
+    interchange.export(index, folder)
+    back = interchange.load(spark, folder)
+    ids = index.rows().select("vector_id", F.col("vec_ord").alias("vec_id"))
+    maps = back.all_attributes().select("vector_id", F.col("attributes")["label"]["uint64_value"].cast("long").alias("label"), F.col("attributes")["lang"]["string_value"].alias("lang"))
+    rows = back.rows().join(maps, "vector_id").join(ids, "vector_id")
+    return rows.select("vec_id", "partition_index", "vector_index", F.size("codes").alias("divisions"), "label", "lang")
 
 
 def index_build_random(spark: SparkSession, sf: str) -> DataFrame:
-    """A trained index asked for the neighbours of vector 3."""
-    return index_rows(IndexBuilder(P, D, C, rounds=20).build(_embeddings(spark, sf)).query(_rows(spark, sf, 3, 3)[0], K, NPROBE))
+    """A trained index asked for the neighbours of vector 3: places, and whether the distance is that of the vector put together from its codes."""
+    index = IndexBuilder(P, D, C).build(_embeddings(spark, sf))
+    vector = _rows(spark, sf, 3, 3)[0]
+    found = index.query(vector, K, NPROBE).join(index.rows().select("vector_id", "codes"), "vector_id")
+    cells = found.select("partition_index", "vector_index", "squared_distance", F.posexplode("codes").alias("division", "code")).join(index.codebook_table(), ["division", "code"])
+    back = cells.groupBy("partition_index", "vector_index", "squared_distance").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("division", "code_vector"))), lambda c: c["code_vector"])).alias("residue"))
+    back = back.join(index.centroid_table(), "partition_index").withColumn("d", V.squared_distance(V.add("residue", "centroid"), V.literal(vector)))
+    place = F.row_number().over(Window.orderBy("squared_distance", "partition_index", "vector_index"))  # K rows
+    return back.select(place.alias("place"), (F.abs(F.col("d") - F.col("squared_distance")) < 1e-9).alias("agrees"))
 
 
 def knn_batch_trained(spark: SparkSession, sf: str) -> DataFrame:
     """The neighbours of every vector whose id is divisible by 50, by a trained index of one code for each element that probes all partitions."""
-    rows = _vectors(spark, sf).filter(F.col("vec_ord") % 50 == 0).orderBy("vec_ord").toArrow()
     index = IndexBuilder(P, SIZE, 64).build(_embeddings(spark, sf), order="vec_id", vec="embedding")
-    found = index.query_batch(matrix(rows.column("vec").combine_chunks()), K, P)
-    asked = spark.createDataFrame(list(enumerate(rows.column("vec_ord").to_pylist())), "query_id long, asked_id long")
-    ids = index.encoded.select("partition_index", "vector_index", F.col("vec_ord").alias("vec_id"))
-    found = found.join(ids, ["partition_index", "vector_index"]).join(asked, "query_id")
-    return found.select(F.col("asked_id").alias("query_id"), "vec_id", r6("squared_distance").alias("squared_distance"))
+    asked = _vectors(spark, sf).filter(F.col("vec_ord") % 50 == 0).withColumnRenamed("vec_ord", "query_id")
+    ids = index.rows().select("partition_index", "vector_index", F.col("vec_ord").alias("vec_id"))
+    found = index.query_table(asked, K, P).join(ids, ["partition_index", "vector_index"])
+    return found.select("query_id", "vec_id", r6("squared_distance").alias("squared_distance"))
 
 
 QUERIES = {
@@ -387,6 +431,8 @@ QUERIES = {
     "knn_batch": knn_batch,
     "knn_exact": knn_exact,
     "knn_async": knn_async,
+    "knn_search": knn_search,
+    "knn_table": knn_table,
     "n_best": n_best,
     "attr_set_last_wins": attr_set_last_wins,
     "attr_get": attr_get,
@@ -396,6 +442,7 @@ QUERIES = {
     "knn_with_attributes": knn_with_attributes,
     "content_id": content_ids,
     "index_roundtrip": index_roundtrip,
+    "messages_roundtrip": messages_roundtrip,
     "index_build_random": index_build_random,
     "knn_batch_trained": knn_batch_trained,
 }
@@ -434,7 +481,7 @@ _STEPS = {
     "sub_far": f"SELECT vec_id, partition_index, s.division, code, {_sqd('sub', 'code_vector')} AS d FROM subs s JOIN books b ON s.division = b.division",
     "codes": "SELECT vec_id, partition_index, division, arg_min(code, {'d': d, 'c': code}) AS code FROM sub_far GROUP BY vec_id, partition_index, division",
     "places": "SELECT vec_id, partition_index, CAST(row_number() OVER (PARTITION BY partition_index ORDER BY vec_id) - 1 AS INTEGER) AS vector_index FROM residues",
-    "asked": "SELECT vec_id AS query_id, vec FROM v WHERE vec_id < 20",
+    "asked": "SELECT vec_id AS query_id, vec FROM v",
     "near": f"SELECT query_id, cluster AS partition_index, {_sqd('vec', 'centroid')} AS d, {_each('-', 'vec', 'centroid')} AS localized FROM asked, centres",
     "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, partition_index) - 1 AS INTEGER) AS probe_rank FROM near",
     "probes": f"SELECT * FROM ranked WHERE probe_rank < {NPROBE}",
@@ -443,8 +490,7 @@ _STEPS = {
     "adc": "SELECT query_id, partition_index, vector_index, vec_id, sum(d) AS d FROM codes JOIN places USING (vec_id, partition_index) JOIN dtable USING (partition_index, division, code) GROUP BY query_id, partition_index, vector_index, vec_id",
     "best": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, partition_index, vector_index) AS r FROM adc",
     "found": f"SELECT * FROM best WHERE r <= {K}",
-    "even": "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0",
-    "attrs": "SELECT vec_id, 'label' AS name, CAST(NULL AS VARCHAR) AS string_value, CAST(CASE WHEN label < 3 THEN label + 100 ELSE label END AS BIGINT) AS number_value FROM even UNION ALL SELECT vec_id, 'lang', lang, NULL FROM even JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL",
+    "attrs": "SELECT vec_id, 'label' AS name, CAST(NULL AS VARCHAR) AS string_value, CAST(CASE WHEN label < 3 THEN label + 100 ELSE label END AS BIGINT) AS number_value FROM embeddings UNION ALL SELECT vec_id, 'lang', lang, NULL FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL",
     "running": "SELECT vec_id, CAST(label AS DOUBLE) AS weight, sum(CAST(label AS DOUBLE)) OVER (ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS cumulative FROM embeddings",
 }
 
@@ -510,7 +556,13 @@ ORACLES = {
         "adc_scan": f"SELECT partition_index, vector_index, {_round('d')} AS squared_distance FROM adc WHERE query_id = 3",
         "partition_query": f"SELECT partition_index, vector_index, {_round('d')} AS squared_distance FROM adc WHERE query_id = 3 AND partition_index = 3 ORDER BY d, vector_index LIMIT {K}",
         "knn_query": _FOUND,
-        "knn_batch": f"SELECT query_id, partition_index, vector_index, {_round('d')} AS squared_distance FROM found",
+        "knn_batch": f"SELECT query_id, partition_index, vector_index, {_round('d')} AS squared_distance FROM found WHERE query_id < 20",
+        "knn_search": _FOUND,
+        "knn_table": f"SELECT query_id, partition_index, vector_index, {_round('d')} AS squared_distance FROM found",
+        "kmeans_train_random": f"SELECT CAST({P} AS BIGINT) AS clusters, count(*) AS n, false AS moves FROM embeddings",
+        "pq_train_random": f"SELECT CAST(t.d AS INTEGER) AS division, CAST({C} AS BIGINT) AS codes, count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM embeddings, range({D}) t(d) GROUP BY t.d",
+        "index_build_random": f"SELECT CAST(t.r AS INTEGER) AS place, true AS agrees FROM range(1, {K + 1}) t(r)",
+        "messages_roundtrip": f"SELECT p.vec_id, p.partition_index, p.vector_index, {D} AS divisions, l.number_value AS label, t.string_value AS lang FROM places p LEFT JOIN attrs l ON l.vec_id = p.vec_id AND l.name = 'label' LEFT JOIN attrs t ON t.vec_id = p.vec_id AND t.name = 'lang'",
         "knn_async": f"SELECT query_id - 3 AS query_id, partition_index, vector_index, {_round('d')} AS squared_distance FROM found WHERE query_id IN (3, 4)",
         "knn_exact": f"SELECT vec_id, {_round(_sqd('x', 'y'))} AS squared_distance FROM pairs ORDER BY {_sqd('x', 'y')}, vec_id LIMIT {K}",
         "n_best": f"SELECT vec_id, {_round('list_sum(vec)')} AS total FROM v ORDER BY total, vec_id LIMIT {K}",

@@ -4,29 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quiverine.operators.index import Index
 
 
-def answer_stream(stream: DataFrame, index: Index, k: int, nprobe: int, sink: Callable[[DataFrame, int], None], checkpoint: str, query_id: str = "query_id", vec: str = "vec", most: int = 100_000) -> StreamingQuery:
-    """Answer each micro-batch of (query_id, vec) and hand the rows to ``sink`` with the batch's number.
+def answer_stream(stream: DataFrame, index: Index, k: int, nprobe: int, sink: Callable[[DataFrame, int], None], checkpoint: str, query_id: str = "query_id", vec: str = "vec") -> StreamingQuery:
+    """Answer each micro-batch of (query_id, vec), of any size, and hand the rows to ``sink`` with the batch's number.
 
-    A micro-batch of over ``most`` vectors is refused: bound it at the source
-    (maxFilesPerTrigger, maxOffsetsPerTrigger). ``sink`` may see a batch again
-    after a failure, under the same number.
+    ``query_id`` is a whole number. ``sink`` may see a batch again after a
+    failure, under the same number.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        rows = batch.select(query_id, vec).limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"a micro-batch of over {most} queries")
-        if not rows:
-            return
-        found = index.query_batch(np.array([r[vec] for r in rows], float), k, nprobe).withColumnRenamed("query_id", "__place")
-        ids = batch.sparkSession.createDataFrame([(n, r[query_id]) for n, r in enumerate(rows)], f"__place long, `{query_id}` {batch.schema[query_id].dataType.simpleString()}")
-        sink(found.join(ids, "__place").drop("__place"), number)
+        asked = batch.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec"))
+        sink(index.query_table(asked, k, nprobe).withColumnRenamed("query_id", query_id), number)
 
     return stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()

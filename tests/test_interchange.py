@@ -1,5 +1,5 @@
-import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,10 +77,22 @@ def test_an_index_comes_back(spark, tmp_path):
     key = lambda i: sorted(tuple(map(str, (r["partition_index"], r["vector_index"], r["vector_id"], r["codes"]))) for r in i.encoded.collect())
     assert key(back) == key(index)
     assert [tuple(r) for r in back.query(rows[0], 7, 2).collect()] == [tuple(r) for r in index.query(rows[0], 7, 2).collect()]
+    assert back.search(rows[0], 7, 2) == index.search(rows[0], 7, 2)
+    near = back.probed(rows[0], 2)
+    files = {Path(f).name.removesuffix(".binpb") for f in back.query(rows[0], 7, 2).inputFiles()}
+    assert files == {back.head["partition_ids"][p] for p in near}  # and no others
+    for r in back.search(rows[0], 120, 4):
+        assert back.get_attribute(r.vector_id, "n", r.partition_index) == index.get_attribute(r.vector_id, "n")
     ids = {r["vec_ord"]: r["vector_id"] for r in index.encoded.collect()}
     assert [back.get_attribute(ids[k], n) for k, n in ((0, "n"), (1, "s"), (2, "n"), (3, "n"))] == [(1 << 64) - 1, "", 0, None]
-    victim = random.Random(1).choice(sorted((tmp_path / "messages" / "codebooks").glob("*.binpb")))
-    victim.write_bytes(victim.read_bytes()[:-1] + b"\x7f")
-    victim.with_name(f".{victim.name}.crc").unlink()
-    with pytest.raises(VerificationFailure):
-        interchange.load(spark, folder)
+    parts = {"codebooks": lambda i: i.search(rows[0], 1, 4), "partitions": lambda i: i.query(rows[0], 1, 4).collect(), "attributes": lambda i: i.attributes().collect()}
+    for where, ask in parts.items():
+        for victim in sorted((tmp_path / "messages" / where).glob("*.binpb")):
+            whole = victim.read_bytes()
+            victim.write_bytes(whole[:-1] + bytes([whole[-1] ^ 0x7F]))
+            crc = victim.with_name(f".{victim.name}.crc")
+            for _ in range(2):  # with the file system's checksum, and without
+                with pytest.raises(VerificationFailure):
+                    ask(interchange.load(spark, folder))
+                crc.unlink(missing_ok=True)
+            victim.write_bytes(whole)
