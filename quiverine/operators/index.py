@@ -169,6 +169,7 @@ class Index:
 
     def __init__(self, encoded: DataFrame | None, centroids: np.ndarray | None, books: np.ndarray | None, log: list[DataFrame] | None = None, known: Extent | None = None, resident: int = RESIDENT_BYTES) -> None:
         self._encoded, self._centroids, self._books = encoded, centroids, books
+        self._norms: np.ndarray | None = None
         self._log = list(log or [])
         self._known = known
         # Values set one by one: a chain of (entry, earlier entries) that copies of the index share.
@@ -199,7 +200,7 @@ class Index:
 
     @books.setter
     def books(self, rows: np.ndarray) -> None:
-        self._books = rows
+        self._books, self._norms = rows, None
 
     def rows(self, partitions: Sequence[int] | None = None) -> DataFrame:
         """The encoded vectors, of some partitions if they are named."""
@@ -387,7 +388,9 @@ class Index:
             found = [Neighbour(*r) for r in self.query_partition(vector, partition, k).collect()]
         else:
             index, ids, codes = held
-            d = query.table_distances(query.distance_table(np.asarray(vector, float), self.centroids[partition], self.books), codes)
+            if self._norms is None:
+                self._norms = query.code_norms(self.books)
+            d = query.table_distances(query.distance_table(np.asarray(vector, float), self.centroids[partition], self.books, self._norms), codes)
             near = query.nearest_rows(d, k)
             near = near[np.lexsort((index[near], d[near]))[:k]]
             found = [Neighbour(partition, int(index[i]), ids[i], float(d[i])) for i in near]

@@ -48,11 +48,17 @@ def probe(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np.n
     return order, np.take_along_axis(distance, order, axis=1)
 
 
-def distance_table(query: np.ndarray, centroid: np.ndarray, books: np.ndarray) -> np.ndarray:
+def code_norms(books: np.ndarray) -> np.ndarray:
+    """The squared norm (divisions, codes) of each code vector."""
+    return np.einsum("dcw,dcw->dc", books, books)
+
+
+def distance_table(query: np.ndarray, centroid: np.ndarray, books: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
     """Squared distances (divisions, codes) of the localized query's slices from the code vectors."""
     divisions, _, width = books.shape
-    local = (query - centroid).reshape(divisions, 1, width)
-    return ((local - books) ** 2).sum(axis=2)
+    local = (query - centroid).reshape(divisions, width, 1)
+    norms = code_norms(books) if norms is None else norms
+    return np.maximum(norms - 2 * np.matmul(books, local)[:, :, 0] + np.square(local[:, :, 0]).sum(axis=1, keepdims=True), 0)
 
 
 def table_distances(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -84,6 +90,7 @@ def scan(encoded: DataFrame, queries: np.ndarray, centroids: np.ndarray, books:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, centroids, books, probes = sent.value
+        norms = code_norms(books)
         best: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
             partition, index = (batch.column(c).to_numpy() for c in (0, 1))
@@ -91,7 +98,7 @@ def scan(encoded: DataFrame, queries: np.ndarray, centroids: np.ndarray, books:
             for p in np.unique(partition):
                 at = np.flatnonzero(partition == p)
                 for q in np.flatnonzero((probes == p).any(axis=1)).tolist():
-                    d = table_distances(distance_table(queries[q], centroids[p], books), codes[at])
+                    d = table_distances(distance_table(queries[q], centroids[p], books, norms), codes[at])
                     near = nearest_rows(d, k)
                     own = (np.full(len(near), p), index[at[near]], np.array(batch.column(2).take(pa.array(at[near])).to_pylist(), object), d[near])
                     if q in best:
@@ -172,6 +179,7 @@ def knn_table(encoded: DataFrame, sizes: DataFrame, queries: DataFrame, centroid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, books = sent.value
+        norms = code_norms(books)
         at, held, piece = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
@@ -188,7 +196,7 @@ def knn_table(encoded: DataFrame, sizes: DataFrame, queries: DataFrame, centroid
                     continue
                 index, ids, codes = piece
                 for query_id, local in zip(part.column("query_id").to_pylist(), matrix(part.column("local")), strict=True):
-                    d = table_distances(distance_table(local, np.zeros(width), books), codes)
+                    d = table_distances(distance_table(local, np.zeros(width), books, norms), codes)
                     near = nearest_rows(d, k)
                     near = near[np.lexsort((index[near], d[near]))[:k]]
                     yield _found(np.full(len(near), query_id), np.full(len(near), now[0]), index[near], ids[near], d[near])

@@ -59,6 +59,20 @@ def _filesystem(spark: SparkSession, path: str):
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
 
 
+_default_scheme: dict[str, str] = {}
+
+
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path in the local file system, if that is what Spark means by it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        app = spark.sparkContext.applicationId
+        if app not in _default_scheme:
+            _default_scheme[app] = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+        return path if _default_scheme[app] == "file" and path.startswith("/") else None
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
 def write_bytes(spark: SparkSession, folder: str, content: bytes, suffix: str) -> str:
     """Write a file named by its content's digest; returns the digest."""
     name = content_id_of(content)
@@ -73,14 +87,26 @@ def write_bytes(spark: SparkSession, folder: str, content: bytes, suffix: str) -
 
 
 def read_bytes(spark: SparkSession, path: str, verify: str | None = None) -> bytes:
-    """A small file's bytes; raises if they don't have the digest ``verify``."""
-    with reading(path):
-        fs, own = _filesystem(spark, path)
-        stream = fs.open(own)
+    """A small file's bytes; raises if they don't have the digest ``verify``.
+
+    What is to be verified and lies in the driver's own file system is read
+    past Hadoop, whose bytes come to Python slowly.
+    """
+    local = _local_path(spark, path) if verify is not None else None
+    if local is not None:
         try:
-            content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
+            with open(local, "rb") as file:
+                content = file.read()
+        except OSError as error:
+            raise StorageError(f"{path} can't be read: {error}") from error
+    else:
+        with reading(path):
+            fs, own = _filesystem(spark, path)
+            stream = fs.open(own)
+            try:
+                content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
     if verify is not None and content_id_of(content) != verify:
         raise VerificationFailure(f"{path} does not have the digest that names it")
     return content
@@ -111,9 +137,10 @@ def save(index: Index, folder: str, compression: str = "zstd") -> str:
         names = index.names()
         log = A.encode_names(index.attributes(), spark.createDataFrame(list(enumerate(names)), "name_index int, name string"))
         stored = log.select("vector_id", "name_index", "value", "partition_index")
-        write(stored.repartition("partition_index", F.pmod(F.hash("vector_id"), F.lit(8)))).partitionBy("partition_index").parquet(f"{folder}/{ATTRIBUTES}")
+        sizes = index.sizes()
+        slices = -(-max(sizes.values(), default=1) // SLICE)
+        write(stored.repartition("partition_index", F.pmod(F.hash("vector_id"), F.lit(slices)))).partitionBy("partition_index").parquet(f"{folder}/{ATTRIBUTES}")
         files = {r["path"]: [r["digest"], r["bytes"]] for r in file_digests(spark, folder).collect()}
-    sizes = index.sizes()
     header = {
         "vector_size": index.vector_size, "num_partitions": index.num_partitions, "num_divisions": index.num_divisions, "num_codes": index.num_codes,
         "partition_sizes": [sizes.get(p, 0) for p in range(index.num_partitions)], "attribute_names": names, "files": files,
