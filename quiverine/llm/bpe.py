@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding in linear time.
 
 A vocabulary of ranks gives each token's last merge. Bytes are mapped to
-Latin-1 characters, and an Aho-Corasick automaton over the tokens finds the
-longest token at each position that the encoder comes to. The encoder takes the
-longest match, tests it against the token before it, tries the next shorter
+Latin-1 characters, and the tokens make a pyahocorasick trie. At each position
+that the encoder comes to, one walk down the trie bounds the longest token
+there; links of failure are of no use, since the next position is the end of a
+token that stays. The encoder takes the longest match, tests it against the token before it, tries the next shorter
 token where the pair can't stand side by side, and steps back where none is
 left; a position that failed is not tried again, so the work is linear. Whether
 two tokens can stand side by side in the result of the merges is decided from
@@ -18,7 +19,6 @@ bytes. Repeated rows give repeated results.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable
 
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverine.llm.common import arrow_map, read, small_batches
+from quiverine.llm.common import arrow_map, read
 from quiverine.llm.pieces import Memo, parts
 
 #: Parts of a text that are joined at once: what a very long text holds in memory.
@@ -65,8 +65,7 @@ class ByteBpe:
                 self.pairs[made] = rank
             self.by_text[token.decode("latin-1")] = rank
             automaton.add_word(token.decode("latin-1"), rank)
-        automaton.make_automaton()
-        self.automaton = automaton
+        self.trie = automaton
         self.deepest = max(map(len, self.by_text))
         self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
         self.shorter: dict[int, int | None] = {}
@@ -146,7 +145,7 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         size, deepest, lengths, side_by_side, shorter = len(text), self.deepest, self.lengths, self.side_by_side, self.shorter
-        by_text, longest_prefix = self.by_text.get, self.automaton.longest_prefix
+        by_text, longest_prefix = self.by_text.get, self.trie.longest_prefix
         failed: set[int] = set()
         out: list[int] = []
         at, last, token = 0, -1, -1
@@ -215,7 +214,6 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     if len(ranks) > 2_000_000:
         raise ValueError("a vocabulary of over two million tokens isn't broadcast")
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
     kept: dict = {}
 
@@ -231,7 +229,6 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not kept:
-            gc.disable()  # the memos hold no cycles, and walking them costs more than they do
             kept["bpe"] = TextBpe(shared.value, pattern)
             kept["names"] = {rank: str(rank) for rank in shared.value.values()}
         rows = [digest(t or "") for t in batch.column(1).to_pylist()]

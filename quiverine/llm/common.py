@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
+import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts are a few kB each, so a batch is a few MB.
-BATCH_ROWS = 1024
-_folders: set[str] = set()
+from quiverine.sources.tables import keep as checkpoint
+from quiverine.sources.tables import work_path
+
+#: Rows and bytes that a step in Python takes at a time, of an Arrow batch of any size; one longer row is a step of its own.
+STEP_ROWS, STEP_BYTES = 1024, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,58 +23,57 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that one Arrow batch hands to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names (spark.checkpoint.dir).
-
-    Only where none is set, as in a bare local test, is one made.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Delete what this application has written, at its end."""
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of rows and bytes; without empty ones."""
+    for batch in batches:
+        at, most = 0, STEP_ROWS
+        while at < batch.num_rows:
+            part = batch.slice(at, most)
+            if part.num_rows > 1 and part.nbytes > STEP_BYTES:
+                most = max(1, part.num_rows // 2)
+                continue
+            yield part
+            at += part.num_rows
+            most = min(STEP_ROWS, 2 * most)
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """While memos grow that hold no cycles, and that walking would cost more than they do."""
+    on = gc.isenabled()
+    gc.disable()
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session may have ended first
-        return
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and cut its lineage.
-
-    Parquet takes a third of the room of checkpointed rows. The tables of an
-    application are deleted at its end.
-    """
-    spark = df.sparkSession
-    folder = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``."""
+    """``fn`` over bounded steps of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        with without_gc():
+            for batch in steps(batches):
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str], int, int]:
+    """``df`` with columns c0, c1, ... whatever they are called, those names, and the places of doc_id and text."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), names, df.columns.index("doc_id"), df.columns.index("text")
+
+
+def fresh(names: list[str], wanted: str) -> str:
+    """``wanted``, or a longer name that no column has."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
@@ -83,3 +83,6 @@ def blas_threads() -> None:
     """One BLAS thread for a task: the cluster gives a task one core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+__all__ = ["arrow_map", "blas_threads", "checkpoint", "fresh", "id_bucket", "positional", "read", "steps", "without_gc", "work_path"]

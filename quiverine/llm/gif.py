@@ -13,12 +13,12 @@ the dictionary itself is followed code by code.
 
 Defined results: null text counts as empty, whose payload is one frame of 255s.
 Equal texts give equal bytes. A truncated or corrupt stream raises
-``ValueError``.
+``ValueError``; in a table of media it gives the frames before the fault and one
+row with the error. Null media have no frames.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
 import zlib
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverine.llm.common import read, small_batches
+from quiverine.llm.common import STEP_BYTES, read, steps, without_gc
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -227,6 +227,13 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode(data: bytes) -> Iterator[Frame]:
     """The frames of any GIF, composed on its screen."""
+    try:
+        yield from _decode(data)
+    except (IndexError, struct.error) as error:
+        raise ValueError("the file ends early") from error
+
+
+def _decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
@@ -340,13 +347,15 @@ _FIELDS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id and the description of the stored payload of every row of ``docs``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # code tables hold no cycles
-        for batch in batches:
-            rows = [describe(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_FIELDS))], ["doc_id", *(name for name, _ in _FIELDS)])
+        with without_gc():
+            for batch in steps(batches):
+                yield described(batch)
+
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [describe(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_FIELDS))], ["doc_id", *(name for name, _ in _FIELDS)])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -354,33 +363,55 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and a binary column ``media`` with the GIF of every row's text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(payload_of(t)[1]) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
 
 
+_FRAME = ("frame", "start", "delay", "width", "height", "pixels", "histogram", "error")
+
+
 def frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per frame of a table of GIFs: key, frame, start, delay, width, height, RGBA pixels, and the histogram."""
-    small_batches(media.sparkSession, 64)
+    """One row per frame of a table of GIFs: key, frame, start, delay, width, height, RGBA pixels, the histogram, and error.
+
+    A file that can't be read to its end has, after its whole frames, a row of
+    which only key, frame and error are set. ``key`` may not be the name of
+    another of these columns.
+    """
+    if key in _FRAME:
+        raise ValueError(f"the key can't be called {key}")
     kind = media.schema[key].dataType.simpleString()
     out_kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data in enumerate(batch.column(1).to_pylist()):
+        for batch in steps(batches):
+            for at in range(batch.num_rows):
+                data = batch.column(1)[at].as_py()
                 if data is None:
                     continue
-                rows = [(k, f.start, f.delay, f.pixels.shape[1], f.pixels.shape[0], f.pixels.tobytes(), histogram(f.pixels).tolist()) for k, f in enumerate(decode(data))]
+                rows: list[tuple] = []
+                done = 0
+                try:
+                    for f in decode(data):
+                        rows.append((len(rows) + done, f.start, f.delay, f.pixels.shape[1], f.pixels.shape[0], f.pixels.tobytes(), histogram(f.pixels).tolist(), None))
+                        if f.pixels.nbytes * len(rows) > STEP_BYTES:  # long animations in several batches
+                            yield framed(batch, at, rows)
+                            rows, done = [], done + len(rows)
+                except ValueError as error:
+                    rows.append((len(rows) + done, *[None] * 6, str(error)))
                 if rows:
-                    own = pa.array([batch.column(0)[at].as_py()] * len(rows), batch.column(0).type)
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), out_kind)
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [key, "frame", "start", "delay", "width", "height", "pixels", "histogram"])
+                    yield framed(batch, at, rows)
+
+    def framed(batch: pa.RecordBatch, at: int, rows: list[tuple]) -> pa.RecordBatch:
+        own = pa.array([batch.column(0)[at].as_py()] * len(rows), batch.column(0).type)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), out_kind, pa.string())
+        return pa.RecordBatch.from_arrays([own, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["key", *_FRAME])
 
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, frame int, start int, delay int, width int, height int, pixels binary, histogram array<long>")
+    found = media.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("media")).mapInArrow(run, f"key {kind}, frame int, start int, delay int, width int, height int, pixels binary, histogram array<long>, error string")
+    return found.toDF(key, *_FRAME)
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Texts are compared in lower case, over their letters and single spaces. The
 n-grams counted are those that occur in some landmark.
 
 The sample is bounded: at most about ``per_language`` labelled rows for each of
-at most ``MAX_LANGUAGES`` languages, chosen by a hash of the text over all
+the ``MAX_LANGUAGES`` languages that most rows have, chosen by a hash of the text over all
 labelled rows that may be learned from; of them ``landmarks`` for each language
 are landmarks. Only their n-gram numbers reach the driver, not their texts.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverine.llm.common import blas_threads, id_bucket, read, small_batches
+from quiverine.llm.common import blas_threads, id_bucket, positional, read, steps
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 200
@@ -98,9 +98,8 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     The share of each language that is taken follows from its count over all
     rows, so no row is moved to choose the sample.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; at most {MAX_LANGUAGES} are learned")
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     per_language = min(per_language, MAX_ROWS // max(1, len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]) if counts else None
     if share is None:
@@ -111,10 +110,9 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
 
 def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 48, ridge: float = 0.03) -> Model:
     """A model from the rows (lang, text) of ``labelled``."""
-    small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             rows = [(lang, letters(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             rows = [(lang, np.unique(grams(line)).tobytes()) for lang, line in rows if line]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "grams"])
@@ -132,17 +130,27 @@ def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 48, ridge
     features = np.unique(np.concatenate([sets[i] for i in chosen]))
     index = np.full(_GRAMS, len(features), np.int32)
     index[features] = np.arange(len(features))
-    found = np.zeros((len(rows), len(features) + 1), np.float32)
-    for row, own in zip(found, sets, strict=True):
-        row[index[own]] = 1
-    found = found[:, : len(features)]
-    marks = (found[chosen] / np.sqrt(np.maximum(found[chosen].sum(axis=1, keepdims=True), 1))).T.astype(np.float32)
-    among = kernel(found[chosen], marks).astype(np.float64)
+
+    def present(which: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(which), len(features) + 1), np.float32)
+        for row, i in zip(found, which, strict=True):
+            row[index[sets[i]]] = 1
+        return found[:, : len(features)]
+
+    def likeness(which: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Rows against landmarks, in blocks: no matrix of all rows and features is made."""
+        return np.concatenate([kernel(present(which[a : a + 256]), marks) for a in range(0, len(which), 256)]).astype(np.float64)
+
+    marks = np.empty((len(features), len(chosen)), np.float32)
+    for a in range(0, len(chosen), 256):
+        part = present(chosen[a : a + 256])
+        marks[:, a : a + 256] = (part / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True), 1))).T
+    among = likeness(chosen, marks)
     # Nystroem: coordinates in which the landmarks' kernel is the inner product.
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-6 * values.max()
     to = vectors[:, good] / np.sqrt(values[good])
-    mapped = kernel(found, marks).astype(np.float64) @ to
+    mapped = likeness(np.arange(len(rows)), marks) @ to
     targets = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same, however many rows it has.
     weight = 1 / np.bincount(of, minlength=len(languages))[of]
@@ -189,7 +197,6 @@ def _shared(spark: SparkSession, model: Model):
 
 def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None) -> DataFrame:
     """``keep`` (else doc_id) of every row of ``docs``, with lang_pred and score."""
-    small_batches(docs.sparkSession)
     shared, kept = _shared(docs.sparkSession, model), {}
     rows = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").cast("string").alias("__text"))
     names = rows.columns[:-1]
@@ -197,7 +204,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept["scorer"] = Scorer(shared.value)
-        for batch in batches:
+        for batch in steps(batches):
             lang, score = kept["scorer"](batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
@@ -248,17 +255,17 @@ def keep_identified(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
     """
     model = fit(_learned(docs))
     least = calibrated(docs, model) if least is None else least
-    small_batches(docs.sparkSession)
-    shared, kept, at = _shared(docs.sparkSession, model), {}, docs.columns.index("text")
+    rows, _, _, at = positional(docs)
+    shared, kept = _shared(docs.sparkSession, model), {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept["scorer"] = Scorer(shared.value)
-        for batch in batches:
-            found = zip(*kept["scorer"](batch.column(at).to_pylist()), strict=True)
+        for batch in steps(batches):
+            found = zip(*kept["scorer"](batch.column(at).cast(pa.string()).to_pylist()), strict=True)
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

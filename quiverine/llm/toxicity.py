@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverine.llm.common import checkpoint, id_bucket, read, small_batches
+from quiverine.llm.common import checkpoint, id_bucket, read, steps
 from quiverine.llm.pieces import Memo
 
 FOLDS, HELD_OUT = 3, 1
@@ -185,19 +185,18 @@ class Model:
     scale: np.ndarray
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Terms with their log odds, of (term, toxic texts, clean texts): those that are surely over four times as frequent in toxic texts."""
-    found = []
-    for term, t, c in counts:
-        if t < 3:
-            continue
-        most_clean = (c + 1 + 1.64 * math.sqrt(c)) / (clean + 1)
-        least_toxic = (t - math.sqrt(t)) / (toxic + 1)
-        if least_toxic > 4 * most_clean:
-            weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-            found.append((t * weight, term, weight))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    return {term: weight for _, term, weight in found[:MOST_TERMS]}
+def choose_terms(counted: DataFrame, toxic: int, clean: int, most: int = MOST_TERMS) -> dict[str, float]:
+    """Terms with their log odds, of (term, t, c), which are numbers of toxic and clean texts.
+
+    Those that are surely over four times as frequent in toxic texts; the
+    ``most`` that weigh the most, all that leaves the cluster.
+    """
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    most_clean = (c + 1 + 1.64 * F.sqrt(c)) / (clean + 1)
+    least_toxic = (t - F.sqrt(t)) / (toxic + 1)
+    weight = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    found = counted.filter((t >= 3) & (least_toxic > 4 * most_clean)).select("term", weight.alias("weight"), (t * weight).alias("order"))
+    return {r["term"]: r["weight"] for r in found.orderBy(F.col("order").desc(), "term").limit(most).collect()}
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -230,12 +229,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFra
     return checkpoint(rows.select("text", "toxic", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")))
 
 
-def _term_counts(rows: DataFrame) -> list[tuple[str, int, int, int]]:
-    """(term, fold, toxic texts, clean texts) of every term of three or more toxic texts."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, t0, c0, t1, c1): the toxic and clean texts of each fold that have a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in steps(batches):
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 terms = {t for word in set(LETTERS.findall((text or "").lower())) for t in starts_of(word)}
                 counts[toxic].update((t, fold) for t in terms)
@@ -245,10 +244,7 @@ def _term_counts(rows: DataFrame) -> list[tuple[str, int, int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.int32()), pa.array([counts[1][k] for k in part], pa.int64()), pa.array([counts[0][k] for k in part], pa.int64())], ["term", "fold", "t", "c"])
 
     counted = rows.select("text", "toxic", "fold").mapInArrow(run, "term string, fold int, t long, c long")
-    by_term = counted.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for f in (0, 1) for x in "tc"))
-    # What is too frequent in clean texts in both folds can't be chosen; it stays where it is.
-    likely = by_term.filter((F.col("t0") + F.col("t1") >= 3) & ((F.col("t0") > F.col("c0")) | (F.col("t1") > F.col("c1")) | (F.col("t0") + F.col("t1") > F.col("c0") + F.col("c1"))))
-    return [tuple(r) for r in likely.collect()]
+    return checkpoint(counted.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for f in (0, 1) for x in "tc")))
 
 
 def _features(rows: DataFrame, lexicons: list[dict[str, float]]) -> list[tuple]:
@@ -257,7 +253,7 @@ def _features(rows: DataFrame, lexicons: list[dict[str, float]]) -> list[tuple]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(terms) for terms in pickle.loads(shared.value)]
-        for batch in batches:
+        for batch in steps(batches):
             found = [scorers[1 - fold].features(text) for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -266,15 +262,14 @@ def _features(rows: DataFrame, lexicons: list[dict[str, float]]) -> list[tuple]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model | None:
     """A model, or None if there aren't both labels."""
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, per_class)
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n = lambda label, folds: sum(sizes.get((f, label), 0) for f in folds)
     if not n(1, (0, 1)) or not n(0, (0, 1)):
         return None
     counts = _term_counts(rows)
-    lexicons = [choose_terms([(r[0], r[1 + 2 * f], r[2 + 2 * f]) for r in counts], n(1, (f,)), n(0, (f,))) for f in (0, 1)]
-    terms = choose_terms([(r[0], r[1] + r[3], r[2] + r[4]) for r in counts], n(1, (0, 1)), n(0, (0, 1)))
+    lexicons = [choose_terms(counts.select("term", F.col(f"t{f}").alias("t"), F.col(f"c{f}").alias("c")), n(1, (f,)), n(0, (f,))) for f in (0, 1)]
+    terms = choose_terms(counts.select("term", (F.col("t0") + F.col("t1")).alias("t"), (F.col("c0") + F.col("c1")).alias("c")), n(1, (0, 1)), n(0, (0, 1)))
     found = _features(rows, lexicons)
     x, y = np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float)
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
@@ -284,7 +279,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model | No
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = F.coalesce(id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     if model is None:
@@ -297,7 +291,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             kept["model"] = pickle.loads(shared.value)
             kept["scorer"] = Scorer(kept["model"].terms)
         model, scorer = kept["model"], kept["scorer"]
-        for batch in batches:
+        for batch in steps(batches):
             x = np.array([scorer.features(t) for t in batch.column(2).to_pylist()], float).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip((x / model.scale) @ model.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -10,7 +10,9 @@ trie is broadcast; its size is that of the rule list and is checked.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and takes the default verdict. A url repeated is judged alike each time. An
-empty table gives an empty result.
+empty table gives an empty result. A rule's host is read in lower case (A-Z), as
+a url's is; a rule that stands twice counts once, and two that give one host
+and path different verdicts are refused.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from quiverine.llm.common import arrow_map, read
 
 ALLOW, BLOCK = "allow", "block"
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: The largest pickled trie that is broadcast; longer lists belong in a join.
 MAX_TRIE_BYTES = 256 << 20
 
@@ -79,16 +82,20 @@ class UrlTrie:
     def add(self, rule: Rule) -> None:
         if rule.verdict not in (ALLOW, BLOCK):
             raise ValueError(f"verdict of {rule.name!r} must be {ALLOW} or {BLOCK}")
-        node = self.root
-        for label in reversed(rule.host.split(".")):
+        node, host = self.root, rule.host.translate(_LOWER)
+        for label in reversed(host.split(".")):
             node = node.children.setdefault(label, HostNode())
         node.paths = at = node.paths or PathNode()
         *whole, last = rule.path.split("/")
         for segment in whole:
             at = at.children.setdefault(segment, PathNode())
-        if not last:
-            at.whole = at.whole or rule
-        elif all(s != last for s, _ in at.starts):
+        known = at.whole if not last else next((r for s, r in at.starts if s == last), None)
+        if known is not None:
+            if known.verdict != rule.verdict:
+                raise ValueError(f"{rule.name!r} is both allowed and blocked")
+        elif not last:
+            at.whole = rule
+        else:
             at.starts.append((last, rule))
             at.starts.sort(key=lambda x: -len(x[0]))
 

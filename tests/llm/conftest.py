@@ -55,7 +55,7 @@ def no_docs(spark):
 
 
 #: Columns of other tables and of the operators' own work, under which a table may have columns of its own.
-CLASHING = ("key", "check", "fp", "component_id", "spans", "runs", "at", "row", "length", "score", "lang_pred", "sequence_id", "offset", "id", "toxic")
+CLASHING = ("key", "check", "fp", "component_id", "spans", "runs", "at", "row", "length", "score", "lang_pred", "sequence_id", "offset", "id", "toxic", "__key", "__check", "__spans", "finds", "c0", "c1", "a.b", "cut", "packed", "query_id", "v", "frame", "node", "partition")
 
 
 @pytest.fixture(scope="session")

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,15 @@ def test_tries_of_random_rules():
             assert trie.find(h, p) == brute_rule(f"s://{h}{p}", rules)[2]
 
 
+def test_rules_that_clash_and_hosts_in_capitals():
+    rule = url_filter.Rule
+    trie = url_filter.UrlTrie([rule("Example.ORG", "/", "block"), rule("example.org", "/", "block"), rule("ex.com", "/a", "allow")])
+    assert trie.find("www.example.org", "/x").verdict == "block"
+    for clash in (rule("EXAMPLE.org", "/", "allow"), rule("ex.com", "/a", "block")):
+        with pytest.raises(ValueError, match="both allowed and blocked"):
+            trie.add(clash)
+
+
 def test_bad_verdicts_are_refused():
     with pytest.raises(ValueError, match="verdict"):
         url_filter.UrlTrie([url_filter.Rule("org", "/", "maybe")])
@@ -77,9 +87,9 @@ def answers(vectors, k):
 
 @pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "few"])
 def test_top_k_matches_brute_force(spark, monkeypatch, kind):
-    monkeypatch.setattr(topk, "GROUP", 50)
-    monkeypatch.setattr(topk, "QUERIES", 16)
-    monkeypatch.setattr(topk, "SAMPLE", 40)
+    monkeypatch.setattr(topk, "FIRST", 20)
+    monkeypatch.setattr(topk, "GROWTH", 4)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2048)
     rng = np.random.default_rng(3)
     n = 6 if kind == "few" else 300
     data = rng.normal(size=(n, 8))
@@ -94,6 +104,13 @@ def test_top_k_matches_brute_force(spark, monkeypatch, kind):
     assert got == brute_top(rows, 5)
 
 
+def test_vectors_beside_columns_of_the_same_names(spark):
+    rows = [(k, [float(k % 7), float(k % 5)], "x", "y", "z") for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, `a.b` string, bucket string")
+    vectors = topk.integer_vectors(df, "vec_id", "embedding", 256)
+    assert answers(vectors, 3) == brute_top([r[:2] for r in rows], 3)
+
+
 def test_no_vectors(spark):
     assert answers(vectors_of(spark, []), 5) == []
 
@@ -109,12 +126,51 @@ def test_pruning_keeps_all_that_reaches_the_threshold():
         scores = group.vectors @ q
         for share in (0.2, 0.6, 0.9):
             threshold = int(share * scores.max())
-            left = group.candidates(q.astype(float), norm, threshold)
+            left = group.candidates(q.astype(float), norm, threshold / norm * (1 - 1e-9))
             assert set(np.flatnonzero(scores >= threshold)) <= set(left.tolist())
             pruned += 400 - len(left)
     assert pruned > 0
 
 
+def test_scans_take_every_share_once():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [(b, rng.choice((1, 50, 10**5, 10**7))) for b in range(rng.randrange(1, 9))]
+        plan = topk.scans(sizes)
+        shares = {}
+        for scan in plan:
+            for b, low, high in scan:
+                assert low == shares.get(b, 0.0) < high
+                shares[b] = high
+        assert shares == {b: 1.0 for b, _ in sizes}
+        order = [b for scan in plan for b, _, _ in scan]
+        assert order == sorted(order, reverse=True)
+        assert len(plan) <= 8
+
+
+def test_many_vectors_of_mixed_lengths(spark):
+    """50,000 vectors, several scans, one vector thousands of times; against numpy."""
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(50_000, 16)).astype(np.float32)
+    data *= (rng.lognormal(0, 1, (50_000, 1)) / 4).astype(np.float32)
+    data[7000:12_000] = data[7]
+    whole = np.floor(256 * data.astype(np.float64)).astype(np.int64)
+    pdf = pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": pa.array(list(data), pa.list_(pa.float32()))})
+    vectors = topk.integer_vectors(spark.createDataFrame(pdf).repartition(6), "vec_id", "embedding", 256)
+    topk.FIRST, first = 2000, topk.FIRST
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.filter(F.col("id") % 250 == 0), 5).collect())
+    finally:
+        topk.FIRST = first
+    expected = []
+    for q in range(0, 50_000, 250):
+        scores = whole @ whole[q]
+        scores[q] = -(1 << 62)
+        best = np.lexsort((np.arange(50_000), -scores))[:5]
+        expected += [(q, n + 1, int(i), int(scores[i])) for n, i in enumerate(best)]
+    assert got == expected
+
+
 def test_products_beyond_doubles():
     big = np.array([[1 << 40, 3]], np.int64)
     assert topk.exact_products(big, np.array([1 << 20, 1], np.int64))[0] == (1 << 60) + 3
@@ -225,12 +281,30 @@ def test_broken_files_are_refused():
     for bad in (b"", b"PNG", whole[:20], whole[:-30], whole[:790]):
         with pytest.raises(ValueError):
             list(gif.decode(bad))
+    for cut in range(len(whole)):  # anywhere
+        with pytest.raises(ValueError):
+            list(gif.decode(whole[:cut]))
     with pytest.raises(ValueError):
         gif.encode(b"")
     with pytest.raises(ValueError):
         gif.encode(b"\1" * 577)
 
 
+def test_broken_media_in_a_table(spark):
+    long = gif.encode(bytes(k % 251 for k in range(576 * 40)))
+    media = [(1, long), (2, long[: len(long) // 2]), (3, b"PNG"), (4, None), (5, b""), (1, long)]
+    df = spark.createDataFrame([(k, bytearray(m) if m is not None else None, "x") for k, m in media], "`a.b` long, media binary, frame string")
+    got = gif.frames(df, key="a.b").collect()
+    of = lambda k: sorted((r for r in got if r["a.b"] == k), key=lambda r: r["frame"])
+    assert [r["error"] for r in of(1)] == [None] * 6
+    assert [r["frame"] for r in of(2)] == list(range(len(of(2))))
+    assert [r["error"] is None for r in of(2)] == [True] * (len(of(2)) - 1) + [False]
+    assert of(2)[-1]["pixels"] is None
+    assert [len(of(k)) for k in (3, 4, 5)] == [1, 0, 1]
+    with pytest.raises(ValueError, match="key"):
+        gif.frames(df, key="frame")
+
+
 def test_payloads_come_back(docs, rows):
     got = sorted(str(tuple(r)[:5]) for r in gif.media_digests(docs).collect())
     expected = []

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import pickle
 import random
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -14,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quiverine.llm import bpe, langid, packing, pii, simhash, substring, toxicity
+from quiverine.llm import bpe, gif, langid, packing, pii, simhash, substring, toxicity
 
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -536,7 +538,330 @@ def test_empty_tables(spark, no_docs):
         assert found.count() == 0
 
 
-def test_clashing_names(clashing, rows):
+def test_clashing_names(spark, clashing, rows):
     ranks = {bytes([b]): b for b in range(256)}
-    for found in (simhash.simhash_components(clashing, 3, 3), substring.substring_digest(clashing), bpe.encode_and_decode(clashing, ranks, public_tokenizers.PATTERN), langid.identify(clashing), toxicity.score(clashing, None)):
+    labels = spark.createDataFrame([(r[0], 1, (r[0] or 0) % 2, "x", 0) for r in rows], "doc_id long, quality int, toxic int, `a.b` string, id int")
+    for found in (
+        simhash.simhash_components(clashing, 3, 3), substring.substring_digest(clashing), bpe.encode_and_decode(clashing, ranks, public_tokenizers.PATTERN), langid.identify(clashing), toxicity.score(clashing, toxicity.fit(clashing, labels)),
+        gif.media_digests(clashing), gif.store(clashing), pii.mask_documents(clashing), substring.substring_dedup(clashing),
+    ):
         assert found.count() == len(rows)
+    packed = packing.pack_documents(clashing, packing.vocabulary("byte_bpe_50k.json"), 64)
+    assert packed.filter("piece = 0").count() == len(rows)
+    for kept in (langid.keep_identified(clashing), substring.substring_dedup(clashing), simhash.near_dedup(clashing), pii.mask_documents(clashing, finds=None)):
+        assert kept.columns == clashing.columns
+        assert kept.first()["a.b"] == "a.b!"
+    with pytest.raises(ValueError, match="has a column"):
+        pii.mask_documents(clashing, finds="finds")
+
+
+# Packing: texts without a cut, and certificates
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\x0b", "a", "7", "é", "!?", "\t "])
+def test_texts_without_a_cut(unit):
+    """Two million characters, on which tiktoken runs out of stack; and around the length from which the library encodes."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = packing.VocabularyIds(packing.vocabulary("byte_bpe_50k.json"))
+    for n in (ids.LONGEST // len(unit) + 1, 10, 2_000_000 // len(unit)):
+        for text in (unit * n, "word " + unit * n + " end"):
+            assert np.frombuffer(ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts_are_packed(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "x" * 300_000, None, ""]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.vocabulary("byte_bpe_50k.json"), 1024).collect()
+    assert {r["doc_id"] for r in got} == set(range(5))
+    assert all(0 < r["length"] <= 1024 for r in got)
+
+
+def test_certificates_come_out(spark):
+    rng = np.random.default_rng(4)
+    lengths = [*rng.integers(300, 700, 500).tolist(), *[512] * 100]
+    pieces = packing.checkpoint(spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], packing.PIECES).repartition(6))
+    packed = packing.pack(pieces, 1024)
+    rows = packed.collect()
+    bins = len({r["sequence_id"] for r in rows})
+    assert packing.certificate(packed, 1024) == (bins, packing.lower_bound(np.array(lengths), 1024))
+    for r in rows:
+        assert r["certified"] == (r["partition_bins"] == r["partition_bound"])
+        assert r["partition_bins"] >= r["partition_bound"]
+    assert any(r["certified"] for r in rows)
+
+
+# PII: layouts, prose, and planted values
+
+
+def test_every_layout_of_a_date_comes_back():
+    masker = pii.Masker(b"key")
+    for text in (
+        "12/31/1999", "31/12/1999", "31.12.1999", "1999-12-31", "1/31/1999", "01/31/1999", "5/3/2020", "05/03/2020", "5/03/2020", "05/3/2020", "13.1.2001", "1.13.2001", "9.9.2099", "01.01.1900", "12.12.2012", "28/2/2023",
+    ):
+        masked, found = masker.mask(f"on {text}, then")
+        assert [f[2] for f in found] == ["date"], text
+        own = masked[3 : -len(", then")]
+        assert len(own) == len(text) and [c for c in own if not c.isdigit()] == [c for c in text if not c.isdigit()]
+        assert [len(p) for p in regex.split(r"[./-]", own)] == [len(p) for p in regex.split(r"[./-]", text)]
+        assert (int(regex.split(r"[./-]", own)[1]) > 12) == (int(regex.split(r"[./-]", text)[1]) > 12)
+        assert pii.unmask(masked, b"key") == f"on {text}, then"
+    days = [masker.mask(t)[0] for t in ("1999-12-31", "31.12.1999", "31/12/1999")]
+    assert days[0] == "-".join(reversed(days[1].split("."))) == "-".join(reversed(days[2].split("/")))
+    for text in ("31/31/1999", "0/1/2000", "29.02.2023", "00.01.2000", "32.1.2000"):
+        assert not masker.finds(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The secret: nobody knows it", "password: please", "token = something", "secret: Nobody", "API key: forthcoming", "my password: CAPITALS", "pwd=___...", "the token: non-negotiable.", "passwd: McDonald"],
+)
+def test_prose_is_no_secret(text):
+    assert pii.Masker(b"key").mask(text) == (text, [])
+
+
+def test_secrets_come_back_as_what_they_were():
+    rng, masker = random.Random(7), pii.Masker(b"key")
+    alphabets = ("0123456789abcdef", "0123456789ABCDEF", "0123456789", "abcXYZ012", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "aB-_/+.0")
+    seen = 0
+    for _ in range(400):
+        value = "".join(rng.choice(alphabets[rng.randrange(6)]) for _ in range(rng.randrange(6, 24)))
+        text = f"token={value}"
+        masked, found = masker.mask(text)
+        seen += [f[2] for f in found] == ["secret"]
+        assert pii.unmask(masked, b"key") == text, text
+    assert seen > 250
+
+
+def brute_finds(text):
+    """Values by their definitions, token by token: of texts whose words are single tokens."""
+    import datetime
+    import ipaddress
+
+    out, at = [], 0
+    for token in text.split(" "):
+        digits = "".join(c for c in token if c.isdigit())
+        kind = None
+        local, sign, domain = token.partition("@")
+        if sign and local and "." in domain and domain.rpartition(".")[2].isalpha():
+            kind = "email"
+        elif token.isdigit() and 13 <= len(token) <= 19 and len(set(token)) > 1 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(token))) % 10 == 0:
+            kind = "card"
+        elif token.count("-") == 2 and [len(p) for p in token.split("-")] == [3, 2, 4] and len(digits) == 9:
+            area, group, serial = map(int, token.split("-"))
+            kind = "ssn" if area not in (0, 666) and area < 900 and group and serial else None
+        elif token.count(".") == 3 and digits and all(p.isdigit() for p in token.split(".")):
+            try:
+                ipaddress.IPv4Address(token)
+                kind = "ip"
+            except ValueError:
+                pass
+        elif token.count("-") == 2 and [len(p) for p in token.split("-")] == [4, 2, 2] and len(digits) == 8:
+            try:
+                kind = "date" if 1900 <= datetime.date.fromisoformat(token).year < 2100 else None
+            except ValueError:
+                pass
+        if kind:
+            out.append((at, at + len(token), kind))
+        at += len(token) + 1
+    return out
+
+
+def test_finds_match_brute_force_on_random_texts():
+    rng, masker = random.Random(21), pii.Masker(b"key")
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def token():
+        kind = rng.randrange(9)
+        if kind == 0:
+            return f"{rng.choice('abc')}{number(2)}@{rng.choice(['x', 'mail8.example'])}.{rng.choice(['com', 'org'])}"
+        if kind == 1:
+            own = rng.choice("3456") + number(rng.randrange(11, 18))
+            return own + str(pii.luhn(own) if rng.random() < 0.7 else rng.randrange(10))
+        if kind == 2:
+            return f"{rng.choice(['000', '666', '900', number(3)])}-{number(2)}-{number(4)}"
+        if kind == 3:
+            return ".".join(str(rng.randrange(300)) for _ in range(4))
+        if kind == 4:
+            return f"{rng.randrange(1890, 2110)}-{rng.randrange(14):02d}-{rng.randrange(33):02d}"
+        return "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+
+    for _ in range(500):
+        text = " ".join(x for _ in range(rng.randrange(1, 25)) for x in (token(), rng.choice("uvwxyz")))
+        masked, found = masker.mask(text)
+        assert [f[:3] for f in found] == brute_finds(text), text
+        assert pii.unmask(masked, b"key") == text
+
+
+def test_many_finds_take_time_in_proportion():
+    masker = pii.Masker(b"key")
+
+    def seconds(n):
+        text = " ".join(f"{k % 28 + 1:02d}.0{k % 9 + 1}.20{k % 90 + 10}" for k in range(n))
+        began = time.process_time()
+        assert len(masker.finds(text)) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2000), 0.02)
+
+
+# Language ID and toxicity, against their definitions
+
+
+def test_scores_match_a_dense_kernel(spark):
+    """Kernel, Nystroem map and ridge regression written out over sets of n-grams."""
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        lang = "abc"[k % 3]
+        rows.append((lang, " ".join("".join(rng.choice({"a": "aeiou", "b": "aestn", "c": "ßüöxz"}[lang]) for _ in range(4)) for _ in range(12))))
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=1000, landmarks=7, ridge=0.05)
+
+    def ngrams(text):
+        line = langid.letters(text)
+        return {line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)}
+
+    distinct = sorted({(lang, np.unique(langid.grams(langid.letters(t))).tobytes(), t) for lang, t in rows}, key=lambda r: r[:2])
+    sets, of = [ngrams(t) for _, _, t in distinct], np.array(["abc".index(lang) for lang, _, _ in distinct])
+    generator = np.random.default_rng(0)
+    chosen = np.concatenate([generator.permutation(np.flatnonzero(of == k))[:7] for k in range(3)])
+    known = set().union(*(sets[i] for i in chosen))
+    sets = [s & known for s in sets]
+    like = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    among = np.array([[like(sets[i], sets[j]) for j in chosen] for i in chosen])
+    values, vectors = np.linalg.eigh(among)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    mapped = np.array([[like(s, sets[j]) for j in chosen] for s in sets]) @ root
+    weight = 1 / np.bincount(of)[of]
+    weight *= len(of) / weight.sum()
+    targets = np.where(of[:, None] == np.arange(3), 1.0, -1.0)
+    middle = weight @ targets / weight.sum()
+    solved = np.linalg.solve(mapped.T @ np.diag(weight) @ mapped + 0.05 * len(of) * np.eye(mapped.shape[1]), mapped.T @ np.diag(weight) @ (targets - middle))
+    asked = [t for _, t in rows[:30]] + ["aaaa ßßßß tttt", "eeee"]
+    expected = np.array([[like(ngrams(t) & known, sets[j]) for j in chosen] for t in asked]) @ root @ solved + middle
+    lang, score = langid.Scorer(pickle.dumps(model))(asked)
+    assert lang == ["abc"[k] for k in expected.argmax(axis=1)]
+    assert np.allclose(score, np.clip((expected.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(f"l{k % 9}", f"{'abcdefghi'[k % 9] * 5} {k}") for k in range(90)] + [("l0", "aaaaa x"), ("l1", "bbbbb y"), ("l2", "ccccc z")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == ("l0", "l1", "l2")
+
+
+def test_scores_match_brute_force(spark):
+    """Terms, edits, windows and the regression written out, without trie or automaton."""
+    docs, labels, rows, truth = toxic_table(spark)
+    rng = random.Random(9)
+    more = [(1000 + k, " ".join(rng.choice(["moron", "w0rthless", "worthles", "lorum", "ipsen", '"idiotic', 'idiotic"', "said", "dolor"]) for _ in range(20))) for k in range(60)]
+    model = toxicity.fit(docs, labels)
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        return a == b or any(a[:i] + a[i + 1 :] == b or b[:i] + b[i + 1 :] == a or (len(a) == len(b) and a[:i] == b[:i] and a[i + 1 :] == b[i + 1 :]) for i in range(max(len(a), len(b))))
+
+    def hit(chunk):
+        low = chunk.lower()
+        words = regex.findall(r"[^\W\d_]+", low)
+        plain = max((w for t, w in model.terms.items() for x in words if (x == t[:-1] if t.endswith("$") else x.startswith(t))), default=0.0)
+        fuzzy = {x for x in [*words, *regex.findall(r"[^\W\d_]+", low.translate(str.maketrans("013457@$", "oieastas")))] if len(x) >= 4}
+        return plain, 0.0 if plain else max((w for t, w in model.terms.items() if t.endswith("$") and len(t) > 5 for x in fuzzy if near(x, t[:-1])), default=0.0)
+
+    def features(text):
+        chunks = text.split()
+        sums = {"plain": [], "near": [], "quoted": []}
+        for k, (a, b) in enumerate(map(hit, chunks)):
+            if not a and not b:
+                continue
+            marks = [sum(c.count(m) for m in "\"«»“”„‹›") for c in chunks]
+            own, left, right = marks[k], sum(marks[max(0, k - 8) : k]), sum(marks[k + 1 : k + 9])
+            told = any(c.strip(".,:;!?").lower() in toxicity.REPORTING for c in chunks[max(0, k - 3) : k])
+            quoted = own >= 2 or (own and (left or right)) or (left % 2 and right) or told
+            sums["quoted" if quoted else "plain" if a else "near"].append(a or b)
+        n = sum(map(len, sums.values()))
+        p, q, r = sums["plain"], sums["near"], sums["quoted"]
+        return [1, max(p, default=0), np.log1p(sum(p)), max(q, default=0), np.log1p(sum(q)), np.log1p(sum(r)), np.log1p(100 * n / (len(chunks) + 20))]
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.unionByName(spark.createDataFrame(more, docs.schema)), model).collect()}
+    for doc_id, text in rows[:80] + more:
+        x = np.array(features(text)) / model.scale @ model.weights
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9), text
+    # The weights are where the penalised likelihood is greatest.
+    rng2 = np.random.default_rng(1)
+    x, y = np.c_[np.ones(50), rng2.normal(size=(50, 3))], rng2.integers(0, 2, 50)
+    w = toxicity.regress(x, y.astype(float))
+    penalty = np.array([1e-3, 1, 1, 1])
+    assert np.allclose(x.T @ (y - 1 / (1 + np.exp(-x @ w))), penalty * w, atol=1e-6)
+
+
+# SimHash and substring dedup at their edges
+
+
+def test_the_state_of_edges_is_exact(spark):
+    edges = [(k, k + 1 + k % 7) for k in range(3000)]
+    small, large = (simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(n)) for n in (1, 9))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+def test_rows_that_differ_in_other_columns_are_rows_of_their_own(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text, "a", {"m": 1}), (1, text, "b", {"m": 1}), (1, text, "b", {"m": 1}), (2, text, None, None), (3, "other " * 9, "a", {}), (3, "other " * 9, None, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>")
+    kept = [tuple(r) for r in simhash.near_dedup(df, 5, 3).collect()]
+    assert sorted(r[0] for r in kept) == [1, 3]
+    again = [tuple(r) for r in simhash.near_dedup(df.repartition(3), 5, 3).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, again))  # the same row each time
+    assert set(map(str, kept)) <= set(map(str, rows))
+
+
+def test_anchors_of_too_many_kinds(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring, "CROWD", 1)
+    monkeypatch.setattr(substring, "MOST_KINDS", 5)
+    got = sorted(str(tuple(r)[:3]) for r in substring.substring_digest(docs, 12).collect())
+    assert got == sorted(str((r[0], len(w), sum(gone))) for r, (w, gone) in zip(rows, brute_masks([r[1] for r in rows], 12)))
+
+
+def test_a_passage_between_many_surroundings(spark):
+    """One passage of 40 words within hundreds of texts, cut at other places, some texts equal."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for k in range(300):
+        a, b = rng.randrange(0, 6), rng.randrange(34, 41)
+        texts.append(" ".join([f"x{rng.randrange(50)}" for _ in range(rng.randrange(40))] + passage[a:b] + [f"y{rng.randrange(50)}" for _ in range(rng.randrange(40))]))
+    texts += texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for length in (35, 20):
+        got = {r["doc_id"]: r["n_removed"] for r in substring.substring_digest(df, length).collect()}
+        assert got == {k: sum(gone) for k, (_, gone) in enumerate(brute_masks(texts, length))}
+
+
+def test_extended_repeats_are_maximal():
+    """Against comparing every pair word by word."""
+    rng = random.Random(6)
+    length, seeds = 12, 8
+    for _ in range(30):
+        anchor = [7] * seeds
+        kinds = []
+        for _ in range(rng.randrange(2, 7)):
+            left, right = rng.randrange(0, 5), rng.randrange(0, 5)
+            if left + right < length - seeds:
+                right = length - seeds - left
+            kinds.append(([rng.randrange(2) for _ in range(left)], [rng.randrange(2) for _ in range(right)]))
+        contexts = [np.array([*a, *anchor, *b], np.uint64) for a, b in kinds]
+        lefts = np.array([len(a) for a, _ in kinds], np.int8)
+        got = substring.extend(np.full(len(kinds), 99, np.int64), lefts, contexts, length)
+        for i, (a, b) in enumerate(kinds):
+            wanted = set()
+            for j, (c, d) in enumerate(kinds):
+                if i == j:
+                    continue
+                before = next((k for k in range(min(len(a), len(c))) if a[-1 - k] != c[-1 - k]), min(len(a), len(c)))
+                after = next((k for k in range(min(len(b), len(d))) if b[k] != d[k]), min(len(b), len(d)))
+                wanted |= {len(a) - k for k in range(before + 1) if 0 <= length - seeds - k <= after}
+            spans = {w for first, last in got[i] for w in range(first, last + 1)}
+            assert spans == wanted
+            assert all(q[0] - p[1] > 1 for p, q in zip(got[i], got[i][1:]))
