@@ -8,10 +8,14 @@ the pieces bound the bins from below. Where both agree the partition is
 certified: its packing can't be improved, and it offers only its loosest bin.
 A partition with a gap keeps its full bins and offers the pieces of the others.
 What is offered is exchanged: dealt to fewer partitions and packed again, until
-all is certified, one partition holds the rest, or ``rounds`` have passed. Then
+all is certified, one partition holds the rest, or a round saves no bin. Then
 the bound is taken over all bins that are not full, and if it shows a gap their
 pieces are exchanged once more. A round that does not save bins is not used.
 
+The certificates come out with the pieces: the partition whose packing made a
+piece's sequence, its bins, their bound, and whether both agree. ``certificate``
+gives bins and bound over all.
+
 The pieces are checkpointed before they are dealt, and each round after it, so
 a lost executor never sees another deal. A task holds the numbers of at most
 ``ROWS`` pieces, not their texts.
@@ -22,7 +26,6 @@ alone. Repeated rows are packed each. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import itertools
 import json
 import zlib
@@ -34,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverine.llm.common import checkpoint, read, small_batches
+from quiverine.llm.common import checkpoint, read, steps, without_gc
 from quiverine.llm.pieces import Memo, parts
 
 #: Pieces, about, that are packed together.
 ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CERTIFICATE = "partition long, partition_bins long, partition_bound long, certified boolean"
+_ADDED = ("sequence_id", "offset", "fill", "settled", "bins", "partition", "partition_bins", "partition_bound", "certified")
 
 
 class VocabularyIds:
@@ -48,9 +53,13 @@ class VocabularyIds:
     The file's merges are numbered in the order of its ids, so tiktoken gives
     the same ids from the same file, in a quarter of the time; this is checked
     when the file is read, and where it does not hold the tokenizers library
-    itself encodes. Strings of special tokens in a text are ordinary text.
+    itself encodes. It also encodes every part of over ``LONGEST`` characters,
+    a stretch without the cuts of ``pieces``, on which tiktoken can run out of
+    stack. Strings of special tokens in a text are ordinary text.
     """
 
+    LONGEST = 20_000
+
     def __init__(self, source: str) -> None:
         spec = json.loads(source)
         ranks = self._ranks(spec)
@@ -59,15 +68,20 @@ class VocabularyIds:
 
             pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
             encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.first = Memo(lambda part: np.array(encode(part), "<u4").tobytes(), most=50_000)
-            self.rest = Memo(lambda part: np.array(encode(" " + part), "<u4").tobytes())
-        else:
+            of_part = lambda part: np.array(encode(part), "<u4").tobytes() if len(part) <= self.LONGEST else self.whole(part)
+            self.first = Memo(of_part, most=50_000)
+            self.rest = Memo(lambda part: of_part(" " + part))
+        self.by_parts = ranks is not None
+        self.source, self.library = source, None
+
+    def whole(self, text: str) -> bytes:
+        """The ids by the library, which is made when it is first asked for."""
+        if self.library is None:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_str(source)
-            tokenizer.encode_special_tokens = True
-            self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.by_parts = ranks is not None
+            self.library = Tokenizer.from_str(self.source)
+            self.library.encode_special_tokens = True
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -99,7 +113,6 @@ class VocabularyIds:
 def cut(docs: DataFrame, source: str, capacity: int, end_id: int | None, keep_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs``; with ``keep_ids`` also their ids, as binary."""
     spark = docs.sparkSession
-    small_batches(spark)
     if len(source) > 64 << 20:
         raise ValueError("a vocabulary file of over 64 MB isn't broadcast")
     shared = spark.sparkContext.broadcast(source)
@@ -109,22 +122,24 @@ def cut(docs: DataFrame, source: str, capacity: int, end_id: int | None, keep_id
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            gc.disable()  # the memo holds no cycles, and walking it costs more than it does
-            kept["ids"] = VocabularyIds(shared.value)
-        encode = kept["ids"]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                start, n = 0, len(ids) // 4
-                stop = n - max(0, (n - 1) // capacity) * capacity
-                piece = 0
-                while start < n:
-                    own = ids[4 * start : 4 * stop]
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(own), *[own] * keep_ids))
-                    start, stop, piece = stop, stop + capacity, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+        with without_gc():
+            if not kept:
+                kept["ids"] = VocabularyIds(shared.value)
+            for batch in steps(batches):
+                yield pieces_of(batch)
+
+    def pieces_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids = kept["ids"](text or "") + end
+            start, n = 0, len(ids) // 4
+            stop = n - max(0, (n - 1) // capacity) * capacity
+            piece = 0
+            while start < n:
+                own = ids[4 * start : 4 * stop]
+                rows.append((doc_id, piece, start, stop - start, zlib.crc32(own), *[own] * keep_ids))
+                start, stop, piece = stop, stop + capacity, piece + 1
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
@@ -196,14 +211,19 @@ def _round(pieces: DataFrame, capacity: int, number: int) -> DataFrame:
         lengths = table.column("length").to_numpy()
         bins, offsets, fills = best_fit(lengths, capacity)
         settles = np.ones(len(fills), bool)
-        if len(fills) == lower_bound(lengths, capacity):
+        bound = lower_bound(lengths, capacity)
+        if len(fills) == bound:
             if fills.min() < capacity:
                 settles[int(fills.argmin())] = False
         else:
             settles = fills == capacity
         loose = np.zeros(len(lengths), np.int64)
         loose[0] = int((~settles).sum())
-        added = (("sequence_id", bins + base), ("offset", offsets), ("fill", fills[bins]), ("settled", settles[bins]), ("bins", loose))
+        same = lambda value: np.full(len(lengths), value)
+        added = (
+            ("sequence_id", bins + base), ("offset", offsets), ("fill", fills[bins]), ("settled", settles[bins]), ("bins", loose),
+            ("partition", same(base)), ("partition_bins", same(len(fills))), ("partition_bound", same(bound)), ("certified", same(len(fills) == bound)),
+        )
         for name, values in added:
             table = table.append_column(name, pa.array(values))
         return table, base + len(fills)
@@ -220,11 +240,11 @@ def _round(pieces: DataFrame, capacity: int, number: int) -> DataFrame:
                 yield from table.combine_chunks().to_batches()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return pieces.select(*names).mapInArrow(run, ", ".join([*fields, "sequence_id long, offset long, fill long, settled boolean, bins long"]))
+    return pieces.select(*names).mapInArrow(run, ", ".join([*fields, f"sequence_id long, offset long, fill long, settled boolean, bins long, {CERTIFICATE}"]))
 
 
-def pack(pieces: DataFrame, capacity: int, rounds: int = 4) -> DataFrame:
-    """``pieces`` (with a column ``length`` from 1 to ``capacity``) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` (with a column ``length`` from 1 to ``capacity``) with sequence_id, offset and CERTIFICATE's columns.
 
     ``pieces`` must come out in the same partitions each time it is read, as a
     checkpoint does.
@@ -232,11 +252,11 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 4) -> DataFrame:
     names = pieces.columns
     done: list[DataFrame] = []
     packed = checkpoint(_round(pieces, capacity, 0))
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1):  # each round saves bins, or is the last
         left, bins = packed.agg(F.count(F.when(~F.col("settled"), 1)), F.sum("bins")).first()
         done.append(packed.filter("settled"))
         loose = packed.filter(~F.col("settled"))
-        if not left or number == rounds:
+        if not left:
             done.append(loose)
             break
         parts_left = max(1, -(-left // ROWS))
@@ -252,7 +272,15 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 4) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return _exchange_rest(out, capacity, rounds + 1).select(*names, "sequence_id", "offset")
+    return _exchange_rest(out, capacity, number + 1).select(*names, "sequence_id", "offset", *_ADDED[5:])
+
+
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """The bins of a packing, and the bound on those of any."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in packed.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
+        counts[row["length"]] = row["n"]
+    return packed.agg(F.countDistinct("sequence_id")).first()[0], bound_of_counts(counts, capacity)
 
 
 def _exchange_rest(packed: DataFrame, capacity: int, number: int) -> DataFrame:
@@ -262,7 +290,7 @@ def _exchange_rest(packed: DataFrame, capacity: int, number: int) -> DataFrame:
     bins' number over all partitions. Where there is a gap, their pieces are
     exchanged once more, whichever partition they came from.
     """
-    names = [c for c in packed.columns if c not in ("sequence_id", "offset", "fill", "settled", "bins")]
+    names = [c for c in packed.columns if c not in _ADDED]
     loose = packed.filter(F.col("fill") < capacity)
     counted = loose.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
@@ -278,13 +306,13 @@ def _exchange_rest(packed: DataFrame, capacity: int, number: int) -> DataFrame:
     return packed.filter(F.col("fill") == capacity).unionByName(again)
 
 
-def pack_documents(docs: DataFrame, source: str, capacity: int = 1024, end_id: int | None = 2, keep_ids: bool = False, rounds: int = 4) -> DataFrame:
+def pack_documents(docs: DataFrame, source: str, capacity: int = 1024, end_id: int | None = 2, keep_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` and their places in sequences of ``capacity`` tokens.
 
     ``source`` is the text of a vocabulary file. ``keep_ids`` adds the pieces'
     ids as little-endian 32-bit integers.
     """
-    return pack(checkpoint(cut(docs, source, capacity, end_id, keep_ids)), capacity, rounds)
+    return pack(checkpoint(cut(docs, source, capacity, end_id, keep_ids)), capacity)
 
 
 def vocabulary(name: str) -> str:
