@@ -13,10 +13,16 @@ North American plan and, after + or 00 and a country code, of any other,
 payment cards (Luhn), IBANs (modulus 97), social security
 numbers, IPv4 addresses, calendar dates from 1900 to 2099, and secrets: access
 key ids, and what follows password, token, secret or API key with an equals
-sign or colon. What does not validate is left alone. A North American number
+sign or colon, if it is no word of prose: it must hold a digit, or change from
+small letters to capitals twice. What does not validate is left alone. A North American number
 written with the country code is masked whatever its digits; one without it is
 a number only if neither area code nor exchange begins with 0 or 1.
 
+The layout of a date is part of its format: year first, day first, or month
+first where the second number can't be a month; and whether day and month have
+one digit or two. One date has one pseudonym in all layouts with two digits
+that begin with year or day, and one in each of the others.
+
 Defined results: null text stays null and has no finds; text without finds is
 unchanged. Where finds overlap the earlier in the list above wins. Repeated
 rows are masked alike. A format of few values can map one to itself, as any
@@ -36,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiverine.llm.common import read, small_batches
+from quiverine.llm.common import positional, read, steps
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 ROUNDS = 10
@@ -70,6 +76,7 @@ _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{6,}=*)")
 _DIGIT = re.compile(r"[0-9]")
+_RISE = re.compile(r"[a-z][A-Z]")
 _FIRST_DAY = datetime.date(1900, 1, 1)
 _DAYS = (datetime.date(2100, 1, 1) - _FIRST_DAY).days
 
@@ -265,55 +272,94 @@ class Masker:
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def _date(self, found: str) -> str | None:
+        parts = re.split(r"[./-]", found)
         try:
             if "-" in found:
                 day = datetime.date.fromisoformat(found)
-            else:
-                d, m, y = map(int, re.split(r"[./]", found))
-                day = datetime.date(y, m, d) if m <= 12 else datetime.date(y, d, m)
+                return self._other_day(day, lambda d: True, "{0.year:04d}-{0.month:02d}-{0.day:02d}")
+            a, b, year = map(int, parts)
+            day_first = b <= 12
+            day = datetime.date(year, b, a) if day_first else datetime.date(year, a, b)
         except ValueError:
             return None
+        sep, names = found[len(parts[0])], ("day", "month") if day_first else ("month", "day")
+        narrow = [name for name, part in zip(names, parts, strict=False) if len(part) == 1]
+        if any(part[0] == "0" for part in parts[:2] if len(part) == 1):
+            return None
+        fits = lambda d: (day_first or d.day > 12) and all(getattr(d, name) < 10 for name in narrow)
+        return self._other_day(day, fits, sep.join(f"{{0.{name}{'' if name in narrow else ':02d'}}}" for name in names) + sep + "{0.year:04d}")
+
+    def _other_day(self, day: datetime.date, fits: Callable[[datetime.date], bool], layout: str) -> str | None:
+        """The permutation walks on until a day fits the layout, so the days that do are permuted among themselves."""
         number = (day - _FIRST_DAY).days
         if not 0 <= number < _DAYS:
             return None
-        new = _FIRST_DAY + datetime.timedelta(days=self._number(number, _DAYS, "date"))
-        if "-" in found:
-            return new.isoformat()
-        sep = "." if "." in found else "/"
-        return f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+        while True:
+            number = self._number(number, _DAYS, "date")
+            new = _FIRST_DAY + datetime.timedelta(days=number)
+            if fits(new):
+                return layout.format(new)
 
     def _key_id(self, found: str) -> str:
         return found[:4] + self._letters(found[4:], "key id", {"all": self._PLAIN["letters"] + self._PLAIN["digits"]})
 
-    def _secret(self, found: str) -> str:
-        if set(found) <= set("0123456789abcdef") or set(found) <= set("0123456789ABCDEF"):
-            return self._letters(found, "hex", {"hex": "0123456789abcdef"})
-        return self._letters(found, "secret", self._PLAIN)
+    @staticmethod
+    def _secret_kind(found: str) -> str | None:
+        """How a secret is permuted; None for what may be a word."""
+        digits, letters = any(c in "0123456789" for c in found), any(c.isalpha() for c in found)
+        if not digits:
+            return "plain" if len(_RISE.findall(found)) > 1 else None
+        if not letters:
+            return "digits"
+        own = set(found)
+        return "hex" if own <= set("0123456789abcdef") or own <= set("0123456789ABCDEF") else "plain"
+
+    def _secret(self, found: str) -> str | None:
+        """Permuted among the secrets of its kind, walking on over others."""
+        kind = self._secret_kind(found)
+        if kind is None:
+            return None
+        new = found.lower() if kind == "hex" else found
+        while True:
+            new = self._letters(new, "hex", {"hex": "0123456789abcdef"}) if kind == "hex" else self._letters(new, "secret", self._PLAIN)
+            if self._secret_kind(new) == kind:
+                return new.upper() if kind == "hex" and found.isupper() else new
 
     def finds(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of every find, in order, without overlaps."""
         out: list[tuple[int, int, str, str]] = []
-        free = lambda a, b: all(b <= x[0] or a >= x[1] for x in out)
+        taken = bytearray(len(text))  # the characters that belong to a find
+        free = lambda a, b: taken.find(1, a, b) < 0
+
+        def add(a: int, b: int, kind: str, own: str) -> None:
+            out.append((a, b, kind, own))
+            taken[a:b] = b"\1" * (b - a)
+
         digits = _DIGIT.search(text) is not None
         for kind, may, pattern, new in self.finders:
             if (digits or pattern in (_EMAIL, _KEY_ID)) and may(text):
                 if pattern is _IBAN:
-                    out += [(a, b, kind, own) for a, b, own in self._ibans(text) if free(a, b)]
+                    for a, b, own in self._ibans(text):
+                        if free(a, b):
+                            add(a, b, kind, own)
                     matches = ()
                 else:
                     matches = pattern.finditer(text)
                 for m in matches:
                     own = free(*m.span()) and new(m.group())
                     if own:
-                        out.append((*m.span(), kind, own))
+                        add(*m.span(), kind, own)
             lead = {_PHONE: "+", _IBAN: "00"}.get(pattern)  # groups of an IBAN can begin with 00
             if lead and digits and lead in text:
                 for m in _ABROAD.finditer(text):
                     own = m.group().startswith(lead) and self._abroad(m)
                     if own and free(m.start(), m.start() + own[0]):
-                        out.append((m.start(), m.start() + own[0], "phone", own[1]))
+                        add(m.start(), m.start() + own[0], "phone", own[1])
         if "=" in text or ":" in text:
-            out += [(*m.span(1), "secret", self._secret(m.group(1))) for m in _SECRET.finditer(text) if free(*m.span(1))]
+            for m in _SECRET.finditer(text):
+                own = free(*m.span(1)) and self._secret(m.group(1))
+                if own:
+                    add(*m.span(1), "secret", own)
         return sorted(out)
 
     def mask(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -329,37 +375,39 @@ class Masker:
 
 
 def unmask(text: str, key: bytes) -> str:
-    """The text before ``mask`` with this key; dates with one-digit days or months come back with two."""
+    """The text before ``mask`` with this key."""
     return Masker(key, back=True).mask(text)[0]
 
 
-def mask_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def mask_documents(docs: DataFrame, key: bytes = DEMO_KEY, finds: str | None = "__finds") -> DataFrame:
     """``docs``, all columns kept, with pseudonyms in ``text``; ``n_chars``, where the table has it, follows.
 
-    A column ``__finds`` is added: an array of kind, start and length in the
-    text as it was.
+    A column called ``finds`` is added, unless that is None: an array of kind,
+    start and length in the text as it was. The table may not have it already.
     """
-    small_batches(docs.sparkSession)
     names = docs.columns
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    at_text = names.index("text")
+    if finds in names:
+        raise ValueError(f"the table has a column {finds}; name another for the finds")
+    rows, own_names, _, at_text = positional(docs)
+    rows = rows.withColumn(own_names[at_text], F.col(own_names[at_text]).cast("string"))
     at_chars = names.index("n_chars") if "n_chars" in names else None
     finds_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masker = Masker(key)
-        for batch in batches:
+        for batch in steps(batches):
             texts, columns = batch.column(at_text).to_pylist(), list(batch.columns)
             done = [(None, []) if t is None else masker.mask(t) for t in texts]
             columns[at_text] = pa.array([t for t, _ in done], pa.string())
             if at_chars is not None:
                 old = columns[at_chars]
                 columns[at_chars] = pa.array([len(t) if f else n for (t, f), n in zip(done, old.to_pylist(), strict=True)], old.type)
-            finds = pa.array([[{"kind": k, "start": a, "length": b - a} for a, b, k, _ in f] for _, f in done], finds_type)
-            yield pa.RecordBatch.from_arrays([*columns, finds], [*names, "__finds"])
+            found = pa.array([[{"kind": k, "start": a, "length": b - a} for a, b, k, _ in f] for _, f in done], finds_type)
+            yield pa.RecordBatch.from_arrays([*columns, found], [*own_names, "finds"])
 
     find = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__finds", T.ArrayType(find))]))
+    masked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("finds", T.ArrayType(find))]))
+    return masked.drop("finds").toDF(*names) if finds is None else masked.toDF(*names, finds)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
