@@ -1,48 +1,50 @@
 """Exact top-k by inner product, with norm buckets.
 
 Vectors are grouped by their length: a bucket holds norms within a ninth of
-each other, and is cut into groups of at most about ``GROUP`` vectors. Every
-query starts with a threshold, the k-th best score among a small sample of
-vectors, which no final result can fall below. A query goes only to the groups
-whose longest vector could reach its threshold. In a group the threshold
-becomes one on the cosine, and picks the pruning: a low one leaves length
-pruning (vectors too short to reach it, a suffix of the group in order of
-length), a high one coordinate pruning (in the query's largest coordinates, a
+each other. They are written once, in folders by bucket, and scanned in place,
+from long buckets to short ones, against blocks of queries that are broadcast:
+``QUERY_BYTES`` of them at a time. The first scan is of ``FIRST`` vectors, each
+further one of ``GROWTH`` times as many as all before. After each scan the k-th
+best score so far is a query's threshold, which no final result can fall below,
+and within a task thresholds rise with what the task has found. A query takes
+part only while the longest vector to come could reach its threshold.
+
+In a bucket's vectors at hand the threshold becomes one on the cosine, and
+picks the pruning for a query: a low one leaves length pruning (vectors too
+short to reach it are left out, and the others multiplied with all such queries
+at once), a high one coordinate pruning (in the query's largest coordinates, a
 vector at that cosine must lie within a range, found by bisection in that
-coordinate's order). The inner products of what is left are computed in exact
-integers, and the threshold rises with the results.
-
-Groups and blocks of queries meet by an equal key, so a task holds one group
-and streams queries past it. Each group gives at most k rows for a query.
+coordinate's order; what is left is multiplied). Products are exact integers.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id. Only vectors of the query's dimension
 are candidates. Rows with the query's own id are not. A query repeated as a
-whole counts once. A query with fewer than k candidates gets them all.
+whole counts once; a vector repeated is a candidate each time. A query with
+fewer than k candidates gets them all.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quiverine.llm.common import checkpoint, read, small_batches
+from quiverine.llm.common import checkpoint, read, steps
 
-GROUP = 8192
-QUERIES = 8192
-#: Vectors, about, that give the first thresholds.
-SAMPLE = 1024
+#: Bytes of queries that one scan answers.
+QUERY_BYTES = 32 << 20
+#: Vectors, about, of the first scan, and by how many times their number grows.
+FIRST, GROWTH = 65_536, 16
+#: Scores that a task computes at once.
+SCORES = 1 << 21
 #: Steps of a bucket for each doubling of the norm.
 STEPS = 8
-#: Local cosine threshold from which coordinates are compared before products.
-COORDINATES_FROM = 0.25
 FOCUS = 3
+_NONE = -(1 << 63)
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -69,18 +71,26 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in out], np.int64)
 
 
+def coordinates_prune(cosine: np.ndarray, dim: int) -> np.ndarray:
+    """Whether a threshold on the cosine leaves a narrow range in a coordinate: the range over the spread of a unit vector's coordinates."""
+    return np.sqrt(np.maximum(0, 1 - cosine * cosine)) * np.sqrt(dim) < 2.5
+
+
 class Group:
-    """The vectors of one group in order of falling length, with coordinate orders made as they are asked for."""
+    """The vectors of one bucket and dimension at hand, in order of falling length, with coordinate orders made as they are asked for."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
         order = np.argsort(-norms, kind="stable")
         self.ids, self.vectors, self.norms = ids[order], vectors[order], norms[order]
-        big = int(np.abs(vectors).max(initial=0))
-        self.big, self.dim = big, vectors.shape[1]
+        self.big, self.dim = int(np.abs(vectors).max(initial=0)), vectors.shape[1]
         self.doubles = self.vectors.astype(np.float64)
-        self.unit = self.doubles / np.maximum(self.norms, 1e-300)[:, None]
+        self.unit: np.ndarray | None = None
         self.orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def reach(self, need: np.ndarray) -> np.ndarray:
+        """How many of the longest vectors have this norm or more."""
+        return np.searchsorted(-self.norms, -need, "right")
+
     def _within(self, coordinate: int, low: float, high: float) -> np.ndarray:
         if coordinate not in self.orders:
             order = np.argsort(self.unit[:, coordinate], kind="stable")
@@ -88,26 +98,20 @@ class Group:
         order, values = self.orders[coordinate]
         return order[np.searchsorted(values, low, "left") : np.searchsorted(values, high, "right")]
 
-    def candidates(self, query: np.ndarray, norm: float, threshold: float) -> np.ndarray:
-        """Positions of all vectors that can score ``threshold`` or more."""
-        if threshold <= 0 or norm == 0:
-            return np.arange(len(self.ids))
-        # A little slack keeps rounding from dropping a tie.
-        need = threshold / norm * (1 - 1e-9)
-        n = int(np.searchsorted(-self.norms, -need, "right"))
-        if not n:
-            return np.zeros(0, np.int64)
+    def candidates(self, query: np.ndarray, norm: float, need: float) -> np.ndarray:
+        """Positions of all vectors that can be at ``need`` or more along the query, by its largest coordinates."""
+        if self.unit is None:
+            self.unit = self.doubles / np.maximum(self.norms, 1e-300)[:, None]
+        n = int(self.reach(np.array([need]))[0])
         cosine = min(1.0, need / self.norms[0])
-        if cosine < COORDINATES_FROM:
-            return np.arange(n)
         unit = query / norm
-        left = None
-        for f in np.argsort(-np.abs(unit))[:FOCUS]:
+        left = np.arange(n)
+        for number, f in enumerate(np.argsort(-np.abs(unit))[:FOCUS]):
             q = float(unit[f])
             room = np.sqrt(max(0.0, (1 - q * q) * (1 - cosine * cosine))) + 1e-9
             low = q * cosine - room if q >= -cosine else -1.0 - 1e-9
             high = q * cosine + room if q <= cosine else 1.0 + 1e-9
-            if left is None:
+            if not number:
                 left = self._within(int(f), low, high)
                 left = left[left < n]
             else:
@@ -115,97 +119,189 @@ class Group:
                 left = left[(own >= low) & (own <= high)]
         return left
 
-    def best(self, query_id: int, query: np.ndarray, norm: float, threshold: float | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the group's k best for the query, of those that reach the threshold."""
-        at = self.candidates(query.astype(np.float64), norm, -1.0 if threshold is None else threshold)
-        at = at[self.ids[at] != query_id]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def scores(self, at: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
         if self.big * int(np.abs(query).max(initial=0)) * max(1, self.dim) < 1 << 53:
-            scores = (self.doubles[at] @ query.astype(np.float64)).astype(np.int64)
-        else:
-            scores = exact_products(self.vectors[at], query)
-        if threshold is not None:
-            reach = scores >= threshold
-            at, scores = at[reach], scores[reach]
-        ids = self.ids[at]
-        order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, without overflow
-        return ids[order], scores[order]
-
-
-def _thresholds(queries: DataFrame, vectors: DataFrame, total: int, k: int) -> DataFrame:
-    """``queries`` with the k-th best score among about ``SAMPLE`` vectors, null where they are fewer."""
-    drawn = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = vectors.filter(drawn < SAMPLE / max(1, total)).select("id", "dim", "v").limit(4 * SAMPLE).collect()
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim, own in itertools.groupby(sorted(rows, key=lambda r: r["dim"]), key=lambda r: r["dim"]):
-        own = list(own)
-        by_dim[dim] = np.array([r["id"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64).reshape(len(own), dim)
-    shared = queries.sparkSession.sparkContext.broadcast(by_dim)  # at most 4 * SAMPLE vectors
+            return (self.doubles[at] @ query.astype(np.float64)).astype(np.int64)
+        return exact_products(self.vectors[at], query)
+
+    def best(self, queries: Queries, which: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, id, score) of what reaches the thresholds of the queries ``which``, and is among the k best here or ties with them."""
+        if not len(self.ids):
+            return
+        low = thresholds[which] <= 0
+        norms = queries.norms[which]
+        # A little slack keeps rounding from dropping a tie.
+        need = np.where(low | (norms == 0), 0.0, thresholds[which] / np.maximum(norms, 1e-300) * (1 - 1e-9))
+        could = low | (need <= self.norms[0])
+        which, need, low = which[could], need[could], low[could]
+        by_coordinate = ~low & coordinates_prune(np.minimum(1.0, need / max(self.norms[0], 1e-300)), self.dim)
+        for q, least in zip(which[by_coordinate].tolist(), need[by_coordinate].tolist(), strict=True):
+            at = self.candidates(queries.doubles[q], queries.norms[q], least)
+            yield self._kept(np.full(len(at), q), at, self.scores(at, queries.vectors[q]), queries, thresholds)
+        which, need = which[~by_coordinate], need[~by_coordinate]
+        order = np.argsort(need, kind="stable")
+        step = max(1, SCORES // len(self.ids))
+        for a in range(0, len(order), step):
+            own = which[order[a : a + step]]
+            yield from self._by_length(queries, own, int(self.reach(need[order[a : a + 1]])[0]), thresholds, k)
+
+    def _by_length(self, queries: Queries, which: np.ndarray, n: int, thresholds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The ``n`` longest against a block of queries."""
+        if self.big * queries.big * max(1, self.dim) >= 1 << 53:
+            for q in which.tolist():
+                at = np.arange(n)
+                yield self._kept(np.full(n, q), at, self.scores(at, queries.vectors[q]), queries, thresholds)
+            return
+        scores = queries.doubles[which] @ self.doubles[:n].T
+        scores[queries.ids[which][:, None] == self.ids[None, :n]] = -np.inf
+        least = np.where(thresholds[which] == _NONE, -np.finfo(float).max, thresholds[which].astype(float))
+        if n > 4 * k and (scores >= least[:, None]).sum() > 4 * k * len(which):
+            least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+        q, at = np.nonzero(scores >= np.maximum(least, -np.finfo(float).max)[:, None])
+        yield which[q], self.ids[at], scores[q, at].astype(np.int64)
+
+    def _kept(self, q: np.ndarray, at: np.ndarray, scores: np.ndarray, queries: Queries, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        good = (scores >= thresholds[q]) & (self.ids[at] != queries.ids[q])
+        return q[good], self.ids[at[good]], scores[good]
+
+
+class Queries:
+    """The queries of one dimension in a block; their places there are ``at``."""
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
+        self.at, self.ids, self.vectors, self.norms = at, ids, vectors, norms
+        self.doubles = vectors.astype(np.float64)
+        self.big = int(np.abs(vectors).max(initial=0))
+
+
+class Best:
+    """The k best of each query so far, and the thresholds that follow."""
+
+    def __init__(self, thresholds: np.ndarray, k: int) -> None:
+        self.thresholds, self.k = thresholds.copy(), k
+        self.rows = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        q, ids, scores = (np.concatenate([own, *(f[c] for f in found)]) for c, own in enumerate(self.rows))
+        order = np.lexsort((ids, ~scores, q))  # ~x falls as x rises, without overflow
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        kept = rank < self.k
+        self.rows = q[kept], ids[kept], scores[kept]
+        last = rank == self.k - 1
+        self.thresholds[q[last]] = np.maximum(self.thresholds[q[last]], scores[last])
+
+
+def scans(sizes: list[tuple[int, int]]) -> list[list[tuple[int, float, float]]]:
+    """Buckets (bucket, vectors) shared out to scans, long ones first: (bucket, from, to), shares of it by a hash."""
+    out: list[list[tuple[int, float, float]]] = [[]]
+    room = FIRST
+    for bucket, n in sorted(sizes, reverse=True):
+        at = 0.0
+        while at < 1.0:
+            to = min(1.0, at + room / n)
+            if n * (1.0 - to) < FIRST / 4:  # no scan for a remnant
+                to = 1.0
+            out[-1].append((bucket, at, to))
+            room -= int(n * (to - at))
+            at = to
+            if room <= 0:
+                seen = sum(int(m) for b, m in sizes if b > bucket) + int(n * at)
+                out.append([])
+                room = max(FIRST, GROWTH * seen)
+    return [scan for scan in out if scan]
+
+
+def _in_scan(scan: list[tuple[int, float, float]]) -> Column:
+    whole = [b for b, low, high in scan if (low, high) == (0.0, 1.0)]
+    drawn = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    where = F.col("bucket").isin(whole)
+    for b, low, high in scan:
+        if (low, high) != (0.0, 1.0):
+            where |= (F.col("bucket") == b) & (drawn >= low) & ((drawn < high) if high < 1.0 else F.lit(True))
+    return where
+
+
+def _scanned(vectors: DataFrame, block: list[Queries], thresholds: np.ndarray, k: int) -> DataFrame:
+    """(at, vec_id, score) of each task's best for the queries of a block."""
+    shared = vectors.sparkSession.sparkContext.broadcast((block, thresholds))  # QUERY_BYTES of queries, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own_id, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                known = shared.value.get(len(v))
-                scores = exact_products(known[1], np.array(v, np.int64))[known[0] != own_id] if known else np.zeros(0, np.int64)
-                out.append(int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None)
-            yield batch.append_column("threshold", pa.array(out, pa.int64()))
+        block, thresholds = shared.value
+        by_dim = {q.vectors.shape[1]: (q, Best(thresholds[q.at], k)) for q in block}
+        for batch in steps(batches):
+            ids, dims, buckets, norms = (batch.column(c).to_numpy() for c in ("id", "dim", "bucket", "norm"))
+            for dim in np.unique(dims):
+                if int(dim) not in by_dim:
+                    continue
+                queries, best = by_dim[int(dim)]
+                for bucket in np.unique(buckets[dims == dim])[::-1]:
+                    rows = np.flatnonzero((dims == dim) & (buckets == bucket))
+                    group = Group(ids[rows], _matrix(batch.column("v").take(pa.array(rows)), int(dim)), norms[rows])
+                    for found in group.best(queries, np.arange(len(queries.ids)), best.thresholds, k):
+                        if len(found[0]):
+                            best.add([found])
+        for queries, best in by_dim.values():
+            q, ids, scores = best.rows
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(queries.at[q]), pa.array(ids), pa.array(scores)], ["at", "vec_id", "score"])
 
-    return queries.mapInArrow(run, "qkey long, id long, v array<long>, dim int, norm double, threshold long")
+    return vectors.select("id", "dim", "bucket", "norm", "v").mapInArrow(run, "at long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.col("score").desc(), F.col("vec_id")))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of ``vectors``; both as ``integer_vectors`` makes them."""
-    small_batches(vectors.sparkSession, 2048)
-    vectors = checkpoint(vectors)
     bucket = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * STEPS)).otherwise(F.lit(-100_000)).cast("int")
-    # Rows are dealt by their place in the checkpoint, so that repeated ids don't fill one group.
-    vectors = vectors.withColumn("bucket", bucket).withColumn("row", F.monotonically_increasing_id())
-    sizes = vectors.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    sizes = sizes.withColumn("groups", F.ceil(F.col("n") / GROUP))
-    asked = queries.withColumn("qkey", F.xxhash64("id", "v")).dropDuplicates(["qkey"])
-    asked = checkpoint(_thresholds(asked.select("qkey", "id", "v", "dim", "norm"), vectors, total, k))
-    blocks = max(1, -(-asked.count() // QUERIES))
-    block = F.pmod(F.xxhash64("qkey"), F.lit(blocks))
-    # A query goes to each group that could reach its threshold; a vector to each block of queries.
-    to = asked.join(sizes, "dim").filter(F.col("threshold").isNull() | (F.col("threshold") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("threshold")))
-    to = to.select("dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), block.alias("block"), F.lit(1).alias("side"), "qkey", "id", "norm", "threshold", "v")
-    own = vectors.join(sizes.select("dim", "bucket", "groups"), ["dim", "bucket"])
-    own = own.select(
-        "dim", "bucket", F.pmod(F.xxhash64("row"), F.col("groups")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.lit(0).alias("side"), F.lit(0).cast("long").alias("qkey"), "id", "norm", F.lit(None).cast("long").alias("threshold"), "v",
-    )
-    key = ["dim", "bucket", "part", "block"]
-    meeting = own.unionByName(to).repartition(*key).sortWithinPartitions(*key, "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, group = None, [], None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
-            cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if batch.num_rows else []
-            for a, b in itertools.pairwise([*cuts, batch.num_rows]):
-                part, now, dim = batch.slice(a, b - a), tuple(keys[:4, a]), int(keys[0, a])
-                if now != at:
-                    at, held, group = now, [], None
-                ids, norms = part.column("id").to_numpy(), part.column("norm").to_numpy()
-                matrix = _matrix(part.column("v"), dim)
-                if keys[4, a] == 0:
-                    held.append((ids, matrix, norms))
-                    continue
-                if group is None and held:
-                    group = Group(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                if group is None:
-                    continue
-                out = [(q, i, *group.best(i, v, n, t, k)) for q, i, v, n, t in zip(part.column("qkey").to_pylist(), ids.tolist(), matrix, norms.tolist(), part.column("threshold").to_pylist(), strict=True)]
-                found = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*((np.full(len(r[2]), r[0]), np.full(len(r[2]), r[1]), r[2], r[3]) for r in out), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["qkey", "query_id", "vec_id", "score"])
-
-    found = meeting.mapInArrow(run, "qkey long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("qkey").orderBy(F.col("score").desc(), F.col("vec_id")))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors = checkpoint(vectors.withColumn("bucket", bucket), by=["bucket"])
+    # A row for each bucket: some hundreds, as norms have exponents.
+    sizes = vectors.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
+    longest = {r["bucket"]: r["longest"] for r in sizes}
+    plan = scans([(r["bucket"], r["n"]) for r in sizes])
+    asked = checkpoint(queries.select("id", "v", "dim", "norm").dropDuplicates(["id", "v"]))
+    n, cells = asked.agg(F.count("*"), F.sum("dim")).first()
+    blocks = max(1, -(-8 * (cells or 0) // QUERY_BYTES), -(-n // (QUERY_BYTES // 256)))
+    out = None
+    for number in range(blocks if n and sizes else 0):
+        own = asked.filter(F.pmod(F.xxhash64("id", "v", F.lit("block")), F.lit(blocks)) == number).toArrow().combine_chunks()
+        found = _block(vectors, plan, longest, own, k)
+        out = found if out is None else out.unionByName(found)
+    schema = "query_id long, rank int, vec_id long, score long"
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _block(vectors: DataFrame, plan: list, longest: dict[int, float], own: pa.Table, k: int) -> DataFrame:
+    """The results of the queries of one block."""
+    spark = vectors.sparkSession
+    ids, dims, norms = (own.column(c).to_numpy() for c in ("id", "dim", "norm"))
+    thresholds = np.full(len(ids), _NONE, np.int64)
+    block = []
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        block.append(Queries(at, ids[at], _matrix(own.column("v").take(pa.array(at)).combine_chunks(), int(dim)), norms[at]))
+    best = None
+    for scan in plan:
+        most = max(longest[b] for b, _, _ in scan)
+        live = (thresholds <= 0) | (norms * most * (1 + 1e-9) >= thresholds)
+        if not live.any():
+            break  # nor does any shorter vector reach a threshold
+        now = []
+        for q in block:
+            on = live[q.at]
+            if on.any():
+                now.append(Queries(q.at[on], q.ids[on], q.vectors[on], q.norms[on]))
+        found = _scanned(vectors.filter(_in_scan(scan)), now, thresholds, k)
+        best = checkpoint(_ranked(found if best is None else best.drop("rank").unionByName(found), k))
+        if scan is not plan[-1]:
+            reached = best.filter(F.col("rank") == k).select("at", "score").toArrow()
+            thresholds[reached.column("at").to_numpy()] = reached.column("score").to_numpy()
+    names = spark.createDataFrame(pa.table({"at": pa.array(np.arange(len(ids))), "query_id": pa.array(ids)}))
+    return best.join(names, "at").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
