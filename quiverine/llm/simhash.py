@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverine.llm import jaccard
-from quiverine.llm.common import arrow_map, checkpoint, read, small_batches
+from quiverine.llm.common import arrow_map, checkpoint, positional, read
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -67,21 +67,18 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, key, check) of every row of ``docs``; the last two are hashes of id and text, equal for equal rows."""
-    small_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, key, check) of every row of ``rows``, as ``_keyed`` makes them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = pa.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), out, batch.column(1), batch.column(2)], ["doc_id", "fp", "key", "check"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), *_row_key(), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, fp long, key long, check int")
+    return arrow_map(rows.select("doc_id", "key", "check", "text"), run, "doc_id long, fp long, key long, check int")
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def signatures(rows: DataFrame, shingle: int) -> DataFrame:
     """``fingerprints`` with (node, bands): a hash of the set of shingles and its min-hash keys, null without words."""
-    small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, shingle) for t in batch.column(3).to_pylist()]
@@ -90,11 +87,10 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         node, keys = pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1), batch.column(2), node, keys], ["doc_id", "fp", "key", "check", "node", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), *_row_key(), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, fp long, key long, check int, node long, bands array<long>")
+    return arrow_map(rows.select("doc_id", "key", "check", "text"), run, "doc_id long, fp long, key long, check int, node long, bands array<long>")
 
 
-def similar_classes(docs: DataFrame, fps: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_classes(rows: DataFrame, fps: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``classes`` (fp, root) of ``fps`` (see ``signatures``), joined where texts of two have ``similarity`` or more."""
     nodes = fps.filter("node is not null").groupBy("fp", "node").agg(F.first("bands").alias("bands")).join(classes, "fp")
     pairs = checkpoint(jaccard.candidates(nodes.select("node", "root", "bands")))
@@ -102,7 +98,7 @@ def similar_classes(docs: DataFrame, fps: DataFrame, classes: DataFrame, shingle
     # One row for each set that is compared gives its shingles.
     row = fps.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
     row = row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check"))
-    texts = docs.select(*_row_key(), F.col("text").cast("string").alias("text")).join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
+    texts = rows.select("key", "check", "text").join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
@@ -114,9 +110,14 @@ def similar_classes(docs: DataFrame, fps: DataFrame, classes: DataFrame, shingle
     return checkpoint(classes.join(joined, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
 
 
-def _row_key() -> tuple[Column, Column]:
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.xxhash64(doc_id, text).alias("key"), F.hash(text, doc_id).alias("check")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns by position, and (doc_id, text, key, check); the last two are hashes of all columns, equal for equal rows only."""
+    rows, names, at_id, at_text = positional(docs)
+    # Maps have no hash of their own.
+    plain = [F.to_json(c) if "map<" in f.dataType.simpleString() else F.col(c) for c, f in zip(names, rows.schema.fields, strict=True)]
+    present = [F.col(c).isNotNull() for c in names]
+    key, check = F.xxhash64(*plain, *present), F.hash(*reversed(plain), *present)
+    return rows.select(*names, F.col(names[at_id]).cast("long").alias("doc_id"), F.col(names[at_text]).cast("string").alias("text"), key.alias("key"), check.alias("check")), names
 
 
 def _blocks(distance: int) -> list[tuple[int, int]]:
@@ -170,10 +171,16 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     keys = [(block(a) * (1 << blocks[b][1]) + block(b)) * len(pairs) + n for n, (a, b) in enumerate(pairs)]
     member = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     # A key is dealt to the tasks once; only keys with more members than one task compares are counted out.
-    large = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
+    large = checkpoint(member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET))
+    # At most a thousand keys hold a thousandth of the members each; theirs are told apart without moving them.
+    hottest = distinct.count() * len(pairs) // 1000
+    hot = large.filter(F.col("n") > hottest).select("key", F.col("n").alias("hot"))
+    member = member.join(F.broadcast(hot), "key", "left").withColumn("at", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64(fp)))
+    rest = large.filter(F.col("n") <= hottest).select(F.col("key").alias("at"), "n")
+    member = member.join(rest, "at", "left").select("key", "fp", F.coalesce("hot", "n").alias("n"))
     chunks = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
     own = F.pmod(F.xxhash64(fp), chunks).cast("int")
-    dealt = member.join(large, "key", "left").select(
+    dealt = member.select(
         "key", "fp",
         F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
             F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: (F.least(c, own) * chunks + F.greatest(c, own)).cast("long"))
@@ -226,7 +233,9 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter(u != v).distinct()
 
     def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / F.lit(2**32)).cast("decimal(38,0)")).first())
+        """What tells one set of edges from another, exact in any order of its rows."""
+        own = F.xxhash64("u", "v")
+        return tuple(edges.agg(F.count("*"), F.bit_xor(own), F.sum(own.cast("decimal(20,0)"))).first())
 
     edges = checkpoint(edges)
     last = None
@@ -246,14 +255,14 @@ def linked_classes(fps: DataFrame, distance: int) -> DataFrame:
     """
     if not 0 <= distance <= 61:
         raise ValueError("distance must be from 0 to 61")
-    classes = fps.select("fp").distinct()
+    classes = checkpoint(fps.select("fp").distinct())
     roots = components(links(classes, distance)).withColumnRenamed("node", "fp")
     return checkpoint(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
-    fps = checkpoint(fingerprints(docs, shingle))
+    fps = checkpoint(fingerprints(_keyed(docs.select("doc_id", "text"))[0], shingle).select("doc_id", "fp"))
     classes = linked_classes(fps, distance)
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(classes, "fp")
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -264,23 +273,22 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 3) ->
 def near_dedup(docs: DataFrame, shingle: int = 5, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are first of their component.
 
-    The first is the row with the smallest doc_id, and of different texts under
-    that id the one with the smaller hash; a row without an id is first only if
-    all are. Of equal rows one stays. With ``similarity``, texts whose sets of
+    The first is the row with the smallest doc_id, and of different rows under
+    that id the one with the smaller hash of all its columns; a row without an
+    id is first only if all are. Of rows equal in every column one stays. With ``similarity``, texts whose sets of
     shingles have that Jaccard similarity or more link too, whatever their
     fingerprints' distance.
     """
-    names = docs.columns
-    fps = checkpoint((fingerprints if similarity is None else signatures)(docs, shingle))
+    rows, names = _keyed(docs)
+    fps = checkpoint((fingerprints if similarity is None else signatures)(rows, shingle))
     classes = linked_classes(fps, distance)
     if similarity is not None:
-        classes = similar_classes(docs, fps, classes, shingle, similarity)
+        classes = similar_classes(rows, fps, classes, shingle, similarity)
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "check")
     first = fps.groupBy("fp").agg(F.min(row).alias("row")).join(classes, "fp")
-    keep = first.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"), F.col("row.check").alias("__check"))
-    key, check = _row_key()
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key"), check.alias("__check"))
-    return rows.join(keep, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*(f"`{c}`" for c in names))
+    keep = first.groupBy("root").agg(F.min("row").alias("row")).select("row.key", "row.check")
+    kept = rows.join(keep, ["key", "check"], "left_semi").dropDuplicates(["key", "check"])
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
