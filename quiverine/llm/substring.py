@@ -332,7 +332,7 @@ def covered(texts: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     single = shared.filter("n = 1").select("key", F.explode(F.transform("spans", lambda s: (F.col("at").bitwiseAND(F.lit(~63)) + s).cast("long"))).alias("at"))
     again = checkpoint(kinds.filter("n > 1").select("anchor", "run", "n"))
     whole = _joined(occurring.select("anchor", "run", "key", "at"), again, ["anchor", "run"], "n", occurring.count()).select("key", "at")
-    return whole.unionByName(single).distinct().groupBy("key").agg(F.collect_list("at").alias("spans"))
+    return whole.unionByName(single).groupBy("key").agg(F.collect_set("at").alias("spans"))
 
 
 def kept_mask(n: int, spans: list[int] | None, length: int) -> np.ndarray | None:
