@@ -314,10 +314,7 @@ class Index:
         tell(listener, "finish_query_init")
         near = self._probe(vector, k, nprobe, listener)
         self._load(near)
-        found = []
-        for p in near:
-            found += self._search_partition(vector, p, k, listener)
-        return self._select(found, k, listener)
+        return self._answer(vector, near, k, listener)
 
     def query_async(self, vector, k: int, nprobe: int, listener: Listener | None = None) -> Future:
         """A future of the rows of ``search``. What it needs is read side by side: centres beside codebooks, partitions beside each other.
@@ -339,11 +336,7 @@ class Index:
             near = self._probe(vector, k, nprobe, listener)
             loads = [read.submit(told, "load_partition", lambda p=p: self._load([p]), partition=p) for p in near]
             books.result()
-            found = []
-            for p, load in zip(near, loads, strict=True):
-                load.result()
-                found += self._search_partition(vector, p, k, listener)
-            return self._select(found, k, listener)
+            return self._answer(vector, near, k, listener, loads)
 
         return ask.submit(run)
 
@@ -355,7 +348,7 @@ class Index:
     def _probe(self, vector, k: int, nprobe: int, listener: Listener | None) -> list[int]:
         query.check_query(np.asarray(vector, float).reshape(1, -1), self.centroids, k, nprobe)
         tell(listener, "start_probe")
-        near = self.probed(vector, nprobe)
+        near = query.probe(np.asarray(vector, float).reshape(1, -1), self.centroids, nprobe)[0][0].tolist()
         tell(listener, "finish_probe", partitions=near)
         return near
 
@@ -378,24 +371,32 @@ class Index:
         of = found.column("partition_index").to_numpy()
         return {p: found.filter(pa.array(of == p)) for p in partitions}
 
-    def _search_partition(self, vector, partition: int, k: int, listener: Listener | None) -> list[Neighbour]:
-        tell(listener, "start_partition_query", partition=partition)
+    def _answer(self, vector, near: list[int], k: int, listener: Listener | None, loads: list[Future] | None = None) -> list[Neighbour]:
+        """The k best of the probed partitions, each searched as it is there."""
+        if self._norms is None:
+            self._norms = query.code_norms(self.books)
+        tables = query.distance_tables(np.asarray(vector, float), self.centroids[near], self.books, self._norms)
+        found = []
+        for n, p in enumerate(near):
+            if loads:
+                loads[n].result()
+            tell(listener, "start_partition_query", partition=p)
+            found += self._search_partition(vector, p, tables[n], k)
+            tell(listener, "finish_partition_query", partition=p)
+        return self._select(found, k, listener)
+
+    def _search_partition(self, vector, partition: int, table: np.ndarray, k: int) -> list[Neighbour]:
         held = self._resident.get(partition)
         if held is None and self._fits(partition):  # others have pushed it out
             self._load([partition])
             held = self._resident.get(partition)
         if held is None:
-            found = [Neighbour(*r) for r in self.query_partition(vector, partition, k).collect()]
-        else:
-            index, ids, codes = held
-            if self._norms is None:
-                self._norms = query.code_norms(self.books)
-            d = query.table_distances(query.distance_table(np.asarray(vector, float), self.centroids[partition], self.books, self._norms), codes)
-            near = query.nearest_rows(d, k)
-            near = near[np.lexsort((index[near], d[near]))[:k]]
-            found = [Neighbour(partition, int(index[i]), ids[i], float(d[i])) for i in near]
-        tell(listener, "finish_partition_query", partition=partition)
-        return found
+            return [Neighbour(*r) for r in self.query_partition(vector, partition, k).collect()]
+        index, ids, codes = held
+        d = query.table_distances(table, codes)
+        near = query.nearest_rows(d, k)
+        near = near[np.lexsort((index[near], d[near]))[:k]]
+        return [Neighbour(partition, int(index[i]), ids[i], float(d[i])) for i in near]
 
     @staticmethod
     def _select(found: list[Neighbour], k: int, listener: Listener | None) -> list[Neighbour]:
@@ -446,10 +447,10 @@ class Index:
         """Log entries of (key, name, value, seq), kept in folders by partition."""
         rows = self.rows()
         known = rows.select("partition_index", "vector_id", *([key] if key == "vec_ord" else []))
-        own = keep(values.join(known, key, "left").select("partition_index", "vector_id" if key == "vec_ord" else key, "name", "value", "seq"))
-        if not own.filter("partition_index is null").isEmpty():
+        own = keep(values.join(known, key, "left").select("partition_index", "vector_id" if key == "vec_ord" else key, "name", "value", "seq"), by=["partition_index"])
+        if not own.filter("partition_index is null").isEmpty():  # a folder of their own
             raise InvalidArgs("an attribute is set on an unknown vector")
-        return keep(own, by=["partition_index"])
+        return own
 
     def _flush(self) -> None:
         """Place the values that wait: one job for all."""

@@ -53,12 +53,17 @@ def code_norms(books: np.ndarray) -> np.ndarray:
     return np.einsum("dcw,dcw->dc", books, books)
 
 
-def distance_table(query: np.ndarray, centroid: np.ndarray, books: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
-    """Squared distances (divisions, codes) of the localized query's slices from the code vectors."""
+def distance_tables(query: np.ndarray, centroids: np.ndarray, books: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Squared distances (centroids, divisions, codes) of the query's slices, localized by each centre, from the code vectors."""
     divisions, _, width = books.shape
-    local = (query - centroid).reshape(divisions, width, 1)
-    norms = code_norms(books) if norms is None else norms
-    return np.maximum(norms - 2 * np.matmul(books, local)[:, :, 0] + np.square(local[:, :, 0]).sum(axis=1, keepdims=True), 0)
+    local = (query - centroids).reshape(len(centroids), divisions, width).transpose(1, 2, 0)
+    squares = np.square(local).sum(axis=1)[:, None, :]
+    return np.maximum(norms[:, :, None] - 2 * np.matmul(books, local) + squares, 0).transpose(2, 0, 1)
+
+
+def distance_table(query: np.ndarray, centroid: np.ndarray, books: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+    """The same of one centre."""
+    return distance_tables(query, centroid[None], books, code_norms(books) if norms is None else norms)[0]
 
 
 def table_distances(table: np.ndarray, codes: np.ndarray) -> np.ndarray:

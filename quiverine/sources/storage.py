@@ -370,13 +370,12 @@ class Snapshot(StoredIndex):
         out: dict[str, dict] = {}
         if (ATTRIBUTES, partition) in self._files:
             names = self.head["attribute_names"]
-            for row in self._table(ATTRIBUTES, partition).to_pylist():
-                if row["vector_id"] is None or row["name_index"] is None or not 0 <= row["name_index"] < len(names):
+            table = self._table(ATTRIBUTES, partition).combine_chunks()
+            texts, numbers = table.column("value").combine_chunks().flatten()
+            for vector_id, at, text, number in zip(table.column("vector_id").to_pylist(), table.column("name_index").to_pylist(), texts.to_pylist(), numbers.cast(pa.uint64()).to_pylist(), strict=True):
+                if vector_id is None or at is None or not 0 <= at < len(names) or (text is None and number is None):
                     raise InvalidData("an attribute log holds an entry without id, name or value")
-                value = A.python_value(row["value"])
-                if value is None:
-                    raise InvalidData("an attribute log holds an entry without id, name or value")
-                out.setdefault(row["vector_id"], {})[names[row["name_index"]]] = value
+                out.setdefault(vector_id, {})[names[at]] = number if text is None else text
         return out
 
 

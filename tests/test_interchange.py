@@ -3,8 +3,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiverine.errors import InvalidData, VerificationFailure
+from quiverine.operators import attributes as A
 from quiverine.operators.index import IndexBuilder
 from quiverine.operators.vectors import from_block
 from quiverine.sources import interchange, messages
@@ -96,3 +98,18 @@ def test_an_index_comes_back(spark, tmp_path):
                     ask(interchange.load(spark, folder))
                 crc.unlink(missing_ok=True)
             victim.write_bytes(whole)
+
+
+def test_names_that_sources_hide(spark, tmp_path):
+    """A digest may begin with an underscore."""
+    rows = np.random.default_rng(2).normal(size=(300, 4))
+    index = IndexBuilder(60, 2, 4, rounds=3).build(from_block(spark, rows, 4), "vec_ord", "vec")
+    index = index.set_attributes(index.rows().select("vec_ord", A.number_value(F.col("vec_ord")).alias("value")), "n")
+    folder = str(tmp_path / "messages")
+    interchange.export(index, folder)
+    back = interchange.load(spark, folder)
+    names = [*back.head["partition_ids"], *back.head["attributes_log_ids"]]
+    assert any(n.startswith("_") for n in names)
+    assert back.num_vectors == 300
+    found = back.with_attribute(back.rows(), "n").join(index.rows().select("vector_id", "vec_ord"), "vector_id")
+    assert {(r["vec_ord"], int(r["value"]["uint64_value"])) for r in found.collect()} == {(k, k) for k in range(300)}
