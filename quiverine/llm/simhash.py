@@ -97,7 +97,8 @@ def similar_classes(rows: DataFrame, fps: DataFrame, classes: DataFrame, shingle
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # One row for each set that is compared gives its shingles.
     row = fps.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
-    row = row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check"))
+    # Written first, so that its size is known: texts are moved only where these rows are too many to go to them.
+    row = checkpoint(row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check")))
     texts = rows.select("key", "check", "text").join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
