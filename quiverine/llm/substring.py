@@ -42,7 +42,7 @@ from quiverine.llm.common import checkpoint, positional, read, steps
 
 SEED_WORDS = 8
 #: Kinds of one anchor that a task extends; and kinds, about, that it extends at once.
-CROWD, MOST_KINDS = 512, 32_768
+CROWD, MOST_KINDS = 32_768, 32_768
 WORD = re.compile(r"[^\x20\x09-\x0D]+")  # what bytes.split() gives of the text's bytes
 _KEY = "quiverine-words!"
 _U = np.uint64
