@@ -2,6 +2,7 @@
 
 The SQL works on fixed starting points: centres are the vectors 0 to 9, code
 vectors the residual slices of the vectors 10 to 25, the query is vector 3.
+Distances are summed in the order of divisions, so equal codes tie in either.
 """
 
 from __future__ import annotations
@@ -487,7 +488,7 @@ _STEPS = {
     "probes": f"SELECT * FROM ranked WHERE probe_rank < {NPROBE}",
     "slices": f"SELECT query_id, partition_index, CAST(t.d AS INTEGER) AS division, list_slice(localized, t.d * {WIDTH} + 1, t.d * {WIDTH} + {WIDTH}) AS sub FROM probes, range({D}) t(d)",
     "dtable": f"SELECT query_id, partition_index, s.division, code, {_sqd('sub', 'code_vector')} AS d FROM slices s JOIN books b ON s.division = b.division",
-    "adc": "SELECT query_id, partition_index, vector_index, vec_id, sum(d) AS d FROM codes JOIN places USING (vec_id, partition_index) JOIN dtable USING (partition_index, division, code) GROUP BY query_id, partition_index, vector_index, vec_id",
+    "adc": "SELECT query_id, partition_index, vector_index, vec_id, list_sum(list(d ORDER BY division)) AS d FROM codes JOIN places USING (vec_id, partition_index) JOIN dtable USING (partition_index, division, code) GROUP BY query_id, partition_index, vector_index, vec_id",
     "best": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, partition_index, vector_index) AS r FROM adc",
     "found": f"SELECT * FROM best WHERE r <= {K}",
     "attrs": "SELECT vec_id, 'label' AS name, CAST(NULL AS VARCHAR) AS string_value, CAST(CASE WHEN label < 3 THEN label + 100 ELSE label END AS BIGINT) AS number_value FROM embeddings UNION ALL SELECT vec_id, 'lang', lang, NULL FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL",
