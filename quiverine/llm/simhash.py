@@ -78,25 +78,46 @@ def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """``fingerprints`` with (node, bands): a hash of the set of shingles and its min-hash keys, null without words."""
+    """``fingerprints`` with (node, bands, sketch): a hash of the set of shingles, its min-hash keys and sketch, null without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, shingle) for t in batch.column(3).to_pylist()]
         fps = pa.array([_majority(h) if len(h) else 0 for h in hashes], pa.int64())
-        found = [jaccard.bands(np.unique(h)) if len(h) else (None, None) for h in hashes]
-        node, keys = pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1), batch.column(2), node, keys], ["doc_id", "fp", "key", "check", "node", "bands"])
+        found = [jaccard.bands(np.unique(h)) if len(h) else (None, None, None) for h in hashes]
+        own = [pa.array(column, kind) for column, kind in zip(zip(*found), (pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(1), batch.column(2), *own], ["doc_id", "fp", "key", "check", "node", "bands", "sketch"])
 
-    return arrow_map(rows.select("doc_id", "key", "check", "text"), run, "doc_id long, fp long, key long, check int, node long, bands array<long>")
+    return arrow_map(rows.select("doc_id", "key", "check", "text"), run, "doc_id long, fp long, key long, check int, node long, bands array<long>, sketch binary")
 
 
 def similar_classes(rows: DataFrame, fps: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``classes`` (fp, root) of ``fps`` (see ``signatures``), joined where texts of two have ``similarity`` or more."""
-    nodes = fps.filter("node is not null").groupBy("fp", "node").agg(F.first("bands").alias("bands")).join(classes, "fp")
-    pairs = checkpoint(jaccard.candidates(nodes.select("node", "root", "bands")))
+    worded = fps.filter("node is not null")
+    nodes = checkpoint(worded.groupBy("fp", "node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    pairs = checkpoint(jaccard.candidates(nodes.join(classes, "fp").select("node", "root", "bands")))
+    classes = _linked(rows, worded, classes, pairs, shingle, similarity)
+    # What the candidates leave out: members of keys that still hold several components. Written first, so that their size is known.
+    keys = checkpoint(jaccard.crowded(nodes.join(classes, "fp")))
+    largest = keys.agg(F.max("n")).first()[0]
+    if largest is None:
+        return classes
+    member = checkpoint(jaccard.members(nodes, keys))
+    compared, over, upto = pairs.select("u", "v"), 0, jaccard.FIRST
+    while True:
+        pairs = checkpoint(jaccard.left_over(member, classes, over, upto).join(compared, ["u", "v"], "left_anti"))
+        classes = _linked(rows, worded, classes, pairs, shingle, similarity)
+        if upto >= largest:  # every pair has had its round
+            return classes
+        compared, over, upto = compared.unionByName(pairs.select("u", "v")), upto, upto * jaccard.GROWTH
+
+
+def _linked(rows: DataFrame, worded: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``classes`` joined where the sets of ``pairs`` (u, v, ru, rv) have ``similarity`` or more."""
+    if pairs.isEmpty():
+        return classes
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # One row for each set that is compared gives its shingles.
-    row = fps.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
+    row = worded.groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
     # Written first, so that its size is known: texts are moved only where these rows are too many to go to them.
     row = checkpoint(row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check")))
     texts = rows.select("key", "check", "text").join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")

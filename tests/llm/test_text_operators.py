@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quiverine.llm import bpe, gif, langid, packing, pii, simhash, substring, toxicity
+from quiverine.llm import bpe, gif, jaccard, langid, packing, pii, simhash, substring, toxicity
 
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -428,6 +428,65 @@ def test_texts_of_a_similarity_link(spark):
     assert left == set(range(len(texts))) - gone
 
 
+def crowd(rng, n):
+    """Texts of one key: all begin alike, so that least hashes often agree, and twins share most of the rest."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(240)]
+    texts = []
+    for k in range(n):
+        own = list(base) if k % 3 != 1 else texts[-1].split()
+        for at in rng.sample(range(2, 238, 5), 3 if k % 3 == 1 else rng.randrange(4, 9)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("n", [40, 1300])
+def test_no_pair_of_a_crowded_key_is_left_out(spark, n):
+    """All rounds together take each pair of one key, over one task's members too, and no other, once."""
+    rng = random.Random(6)
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in crowd(rng, n)]
+    found = [jaccard.bands(h) for h in sets]
+    rows = [(7, n, k, node, bytearray(sketch)) for k, (node, _, sketch) in enumerate(found)]
+    member = spark.createDataFrame(rows, "key long, n long, fp long, node long, sketch binary").repartition(4)
+    classes = spark.createDataFrame([(k, k) for k in range(n)], "fp long, root long")
+    got, over, upto = [], 0, jaccard.FIRST
+    while not over or over < n:
+        got += [(r["u"], r["v"]) for r in jaccard.left_over(member, classes, over, upto).collect()]
+        over, upto = upto, upto * jaccard.GROWTH
+    at = {node: k for k, (node, _, _) in enumerate(found)}
+    assert len(got) == len(set(got))
+    sketches = np.stack([np.frombuffer(s, np.uint8) for _, _, s in found])
+    wanted = {tuple(sorted((found[i][0], found[j][0]))) for i in range(n) for j in np.flatnonzero((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= jaccard.ALIKE) + i + 1}
+    assert set(got) == wanted
+    sample = rng.sample([(i, j) for i in range(n) for j in range(i)], 780)
+    near = [(i, j) for i, j in sample if jaccard.similarity(sets[i], sets[j]) >= 0.8]
+    assert near and all(tuple(sorted((found[i][0], found[j][0]))) in wanted for i, j in near)
+    assert all(at[u] != at[v] for u, v in got)
+
+
+def test_crowded_keys_end_in_the_components_of_all_pairs(spark, monkeypatch):
+    """Without any candidates of the first kind the later rounds link the same texts; so do both."""
+    texts = crowd(random.Random(8), 90)
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = jaccard.similarity(sets[i], sets[j]) >= 0.8
+            if near or bin((simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)) & (1 << 64) - 1).count("1") <= 3:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = {root.index(r) for r in root}
+    assert 1 < len(wanted) < len(texts)
+    assert {r["doc_id"] for r in simhash.near_dedup(df, 5, 3, similarity=0.8).collect()} == wanted
+    first = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda nodes: first(nodes).limit(0))
+    # One key for all: what the bands do not bring together is not what is tested here.
+    monkeypatch.setattr(jaccard, "crowded", lambda nodes: nodes.agg(F.count("*").alias("n")).select(F.lit(1).cast("long").alias("key"), "n"))
+    monkeypatch.setattr(jaccard, "members", lambda nodes, keys: nodes.crossJoin(keys).select("key", "n", "fp", "node", "sketch"))
+    assert {r["doc_id"] for r in simhash.near_dedup(df, 5, 3, similarity=0.8).collect()} == wanted
+
+
 # PII
 
 
