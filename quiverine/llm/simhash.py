@@ -94,15 +94,17 @@ def similar_classes(rows: DataFrame, fps: DataFrame, classes: DataFrame, shingle
     """``classes`` (fp, root) of ``fps`` (see ``signatures``), joined where texts of two have ``similarity`` or more."""
     worded = fps.filter("node is not null")
     nodes = checkpoint(worded.groupBy("fp", "node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    pairs = checkpoint(jaccard.candidates(nodes.join(classes, "fp").select("node", "root", "bands")))
-    classes = _linked(rows, worded, classes, pairs, shingle, similarity)
-    # What the candidates leave out: members of keys that still hold several components. Written first, so that their size is known.
-    keys = checkpoint(jaccard.crowded(nodes.join(classes, "fp")))
-    largest = keys.agg(F.max("n")).first()[0]
+    # Tables between the steps are written, so that their sizes are known to the joins that follow.
+    keys = checkpoint(jaccard.shared(nodes.join(classes, "fp")))
+    member = checkpoint(jaccard.members(nodes, keys))
+    met = checkpoint(jaccard.candidates(member, classes))
+    classes = _linked(rows, worded, classes, checkpoint(jaccard.alike(met, nodes)), shingle, similarity)
+    # What the candidates leave out: members of keys that still hold several components.
+    member = checkpoint(jaccard.crowded(member, nodes, classes))
+    largest = member.agg(F.max("n")).first()[0]
     if largest is None:
         return classes
-    member = checkpoint(jaccard.members(nodes, keys))
-    compared, over, upto = pairs.select("u", "v"), 0, jaccard.FIRST
+    compared, over, upto = met.select("u", "v"), 0, jaccard.FIRST
     while True:
         pairs = checkpoint(jaccard.left_over(member, classes, over, upto).join(compared, ["u", "v"], "left_anti"))
         classes = _linked(rows, worded, classes, pairs, shingle, similarity)
