@@ -72,7 +72,7 @@ class Model:
 
     def index(self) -> np.ndarray:
         """n-gram number to feature; the number of features for the rest."""
-        to = np.full(_GRAMS, len(self.features), np.int32)
+        to = np.full(_GRAMS, len(self.features), np.uint16 if len(self.features) < 1 << 16 else np.int32)
         to[self.features] = np.arange(len(self.features))
         return to
 
