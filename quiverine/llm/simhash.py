@@ -125,10 +125,10 @@ def _linked(rows: DataFrame, worded: DataFrame, classes: DataFrame, pairs: DataF
     texts = rows.select("key", "check", "text").join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+        sets = pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "hashes"])
 
-    sets = checkpoint(arrow_map(texts, run, "node long, hashes binary"))
+    sets = checkpoint(arrow_map(texts, run, "node long, hashes array<long>"))
     joined = components(jaccard.verified(pairs, sets, similarity))
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
     return checkpoint(classes.join(joined, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
