@@ -16,6 +16,8 @@ from quiverine.sources.tables import work_path
 
 #: Rows and bytes that a step in Python takes at a time, of an Arrow batch of any size; one longer row is a step of its own.
 STEP_ROWS, STEP_BYTES = 1024, 8 << 20
+#: Bits of a sieve: 32 for each of four million rows.
+SIEVE_BITS = 1 << 27
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,10 +81,27 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def sieved(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those that ``few`` has no row for by ``on``, and with all others: what a join moves then follows ``few``.
+
+    By a bit for each hash of ``few``, some 32 times as many as it has rows, at
+    most ``SIEVE_BITS``: a broadcast of 16 MB at most. More rows than that make
+    it let more through.
+    """
+    bits = min(SIEVE_BITS, max(1 << 15, 1 << (32 * few.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    full = few.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket"))
+    full = full.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    passed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(full), "__bucket")
+    return passed.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1).select(*rows.columns)
+
+
 def blas_threads() -> None:
     """One BLAS thread for a task: the cluster gives a task one core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
 
 
-__all__ = ["arrow_map", "blas_threads", "checkpoint", "fresh", "id_bucket", "positional", "read", "steps", "without_gc", "work_path"]
+__all__ = ["arrow_map", "blas_threads", "checkpoint", "fresh", "id_bucket", "positional", "read", "sieved", "steps", "without_gc", "work_path"]

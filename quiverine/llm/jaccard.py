@@ -9,16 +9,16 @@ verified on the whole sets.
 First (``candidates``) up to ``SMALL`` members of a key all meet; of more, each
 meets the ``NEAR`` that follow in the order of the next key, which brings the
 most similar together, and two of those that are linked already stand for their
-component. Of these pairs ``alike`` leaves the ones whose sketches (a byte of
-each least hash) agree in at least ``ALIKE`` of 100 places, which fails a pair
-of 0.8 with a probability of 0.00001. Then (``left_over``) all members of the
-keys that still hold several components meet, until every pair has: those of
-different components are candidates if their sketches agree so. A round brings
-about ``FIRST`` partners a member and key, chosen by a hash of the pair, and
-each later one up to ``GROWTH`` times as many, so what can be linked is soon one
-component that needs no pairs, and the last round takes all that is left. A key
-of over ``BUCKET`` members is dealt to several tasks as pairs of chunks, which
-cover every pair of its members.
+component. Of these pairs only those are made whose sketches (a byte of each
+least hash) agree in at least ``ALIKE`` of 100 places, which fails a pair of 0.8
+with a probability of 0.00001. Then all members of the keys that still hold
+several components meet, every pair of them, within the tasks: ``promising``
+gives the members that have such a partner in another component, one row a
+member and not one a pair, and ``linking`` compares their whole sets and gives a
+spanning forest of the links, which has fewer rows than members. A key of over
+``BUCKET`` members is dealt to several tasks as pairs of chunks, which cover
+every pair of its members; a task holds the sets of one such pair of chunks.
+``left_over`` lists the pairs that ``promising`` sees, in rounds.
 
 Defined results: texts without words are in no pair.
 """
@@ -66,33 +66,52 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, ru, rv) from rows (key, chunk, node, root) that are sorted by the first two."""
-    held = np.zeros((4, 0), np.int64)
+def _sketches(column: pa.Array) -> np.ndarray:
+    """A row of bytes for each sketch."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows that are sorted by their first two columns, whole runs of equal ones at a time, and the runs' edges."""
+    held: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
-        cut = 0
         if batch is not None:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            if held.shape[1]:  # the last run may go on in the next batch
-                last = np.flatnonzero((held[0] != held[0, -1]) | (held[1] != held[1, -1]))
-                cut = int(last[-1]) + 1 if len(last) else 0
-        else:
-            cut = held.shape[1]
-        done, held = held[:, :cut], held[:, cut:]
-        if not cut:
+            held.append(batch)
+        if not held:
             continue
-        run = np.cumsum(np.r_[False, (done[0, 1:] != done[0, :-1]) | (done[1, 1:] != done[1, :-1])])
-        sizes = np.bincount(run)
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, chunk = (table.column(k).to_numpy() for k in (0, 1))
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+        if batch is None:
+            edges.append(len(key))
+        # The last run may go on in the next batch.
+        held = table.slice(edges[-1]).to_batches()
+        if edges[-1]:
+            yield table.slice(0, edges[-1]), edges
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, ru, rv) from rows (key, chunk, node, root, sketch) that are sorted by the first two."""
+    for done, edges in _runs(batches):
+        sizes = np.diff(edges)
+        run = np.repeat(np.arange(len(sizes)), sizes)
         small = sizes[run] <= SMALL
-        node, root = done[2], done[3]
+        node, root, sketches = done.column("node").to_numpy(), done.column("root").to_numpy(), _sketches(done.column("sketch"))
         for lag in range(1, min(SMALL, int(sizes.max()))):
             at = np.flatnonzero((run[lag:] == run[:-lag]) & (root[lag:] != root[:-lag]) & (small[:-lag] | (lag <= NEAR)))
+            at = at[_agree(sketches, at, at + lag)]
             if len(at):
                 swap = node[at] > node[at + lag]
                 u, v = np.where(swap, at + lag, at), np.where(swap, at, at + lag)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[u], node[v], root[u], root[v])], ["u", "v", "ru", "rv"])
 
 
+def _agree(sketches: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of places have sketches that agree enough."""
+    parts = [np.count_nonzero(sketches[left[a : a + 4096]] == sketches[right[a : a + 4096]], axis=1) >= ALIKE for a in range(0, len(left), 4096)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
 def shared(nodes: DataFrame) -> DataFrame:
     """(key, n): the keys of ``nodes`` (root, bands) that hold several roots, and their members."""
     return _mixed(nodes.select("root", F.explode("bands").alias("key"))).select("key", "n")
@@ -111,36 +130,97 @@ def members(nodes: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def candidates(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v, ru, rv): nodes that share a key in ``member`` (see ``members``) and whose roots in ``classes`` (fp, root) differ; node by node, the lesser first."""
-    member = member.join(classes, "fp").select("root", "key", F.struct(F.xxhash64("key", "node").alias("order"), "next", "node").alias("m"))
+    """(u, v, ru, rv): nodes that share a key in ``member`` (see ``members``, with sketch), whose sketches agree enough and whose roots in ``classes`` (fp, root) differ; node by node, the lesser first."""
+    member = member.join(classes, "fp").select("root", "key", F.struct(F.xxhash64("key", "node").alias("order"), "next", "node", "sketch").alias("m"))
     # Of what is linked already two stand for the rest, others under each key.
     member = member.groupBy("key", "root").agg(F.array_distinct(F.array(F.min("m"), F.max("m"))).alias("m"))
-    member = member.select("key", "root", F.explode("m").alias("m")).select("key", "root", "m.next", "m.node")
+    member = member.select("key", "root", F.explode("m").alias("m")).select("key", "root", "m.next", "m.node", "m.sketch")
     large = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     chunks = F.ceil(F.col("n") / (BUCKET // 2)).cast("long")
     dealt = member.join(large, "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node", "key"), chunks), F.lit(0).cast("long")))
     dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "next", "node")
-    return dealt.select("key", "chunk", "node", "root").mapInArrow(_meet, "u long, v long, ru long, rv long").distinct()
+    return dealt.select("key", "chunk", "node", "root", "sketch").mapInArrow(_meet, "u long, v long, ru long, rv long").distinct()
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (u, v, ru, rv) whose sketches in ``nodes`` (node, sketch) agree enough."""
+def crowded(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, n, fp, node, sketch): what is in ``member`` under keys of over two that still hold several roots."""
+    member = member.filter("n > 2").select("key", "n", "fp", "node", "sketch")
+    keys = _mixed(member.join(classes, "fp").select("key", "root")).select("key")
+    return member.join(keys, "key", "left_semi").select("key", "n", "fp", "node", "sketch")
+
+
+def _dealt(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, chunk, node, root, n, sketch): ``member`` (see ``crowded``) as pairs of chunks, with its roots in ``classes`` (fp, root)."""
+    chunks = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / (BUCKET // 2)).cast("long")).otherwise(F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64("node", "key"), chunks)
+    chunk = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.least(c, own) * chunks + F.greatest(c, own))).alias("chunk")
+    dealt = member.join(classes, "fp").select("key", chunk, "node", "root", "n", "sketch")
+    return dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+
+
+def promising(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, chunk, node, root, sketch): those of ``member`` (see ``crowded``) that have a partner in their pair of chunks: of another root in ``classes`` (fp, root), and a sketch that agrees enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (4, 5))
-            yield batch.select(["u", "v", "ru", "rv"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= ALIKE))
+        for done, edges in _runs(batches):
+            root, sketches = done.column("root").to_numpy(), _sketches(done.column("sketch"))
+            has = np.zeros(len(root), bool)
+            for a, b in itertools.pairwise(edges):
+                if (root[a:b] == root[a]).all():
+                    continue
+                for i in range(a, b - 1):
+                    at = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
+                    at = at[np.count_nonzero(sketches[at] == sketches[i], axis=1) >= ALIKE]
+                    has[at] = True
+                    has[i] |= len(at) > 0
+            yield from done.filter(pa.array(has)).to_batches()
+
+    return _dealt(member, classes).select("key", "chunk", "node", "root", "sketch").mapInArrow(run, "key long, chunk long, node long, root long, sketch binary")
+
+
+def spanning(root: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of roots that connect what the pairs of members connect whose sketches agree enough and whose sets are similar by ``least`` or more; fewer than roots.
+
+    Every such pair is compared unless its members are connected by then.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(vocabulary), bool)
+    now, links = root.copy(), []
+    for i in range(len(sets) - 1):
+        at = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
+        at = at[np.count_nonzero(sketches[at] == sketches[i], axis=1) >= ALIKE]
+        if not len(at):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        common = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j] + sizes[j]]]) for j in at.tolist()], np.int64)
+        mark[own] = False
+        for j in at[common / (sizes[i] + sizes[at] - common) >= least].tolist():
+            if now[j] != now[i]:
+                links.append((int(root[i]), int(root[j])))
+                now[now == now[j]] = now[i]
+    return links
 
-    own = nodes.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    both = pairs.join(own.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-    return both.select("u", "v", "ru", "rv", "a", "b").mapInArrow(run, "u long, v long, ru long, rv long")
 
+def linking(some: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): roots that the sets in ``sets`` (node, hashes) of ``some`` (see ``promising``) link, as ``spanning`` tells for each pair of chunks."""
 
-def crowded(member: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, n, fp, node, sketch): what is in ``member`` under keys of over two that still hold several roots, with its sketch in ``nodes``."""
-    member = member.filter("n > 2").select("key", "n", "fp", "node")
-    keys = _mixed(member.join(classes, "fp").select("key", "root")).select("key")
-    return member.join(keys, "key", "left_semi").join(nodes.select("fp", "node", "sketch"), ["fp", "node"]).select("key", "n", "fp", "node", "sketch")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done, edges in _runs(batches):
+            root, sketches, column = done.column("root").to_numpy(), _sketches(done.column("sketch")), done.column("hashes").combine_chunks()
+            flat, ends = column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+            found: list[tuple[int, int]] = []
+            for a, b in itertools.pairwise(edges):
+                found += spanning(root[a:b], sketches[a:b], [flat[ends[k] : ends[k + 1]] for k in range(a, b)], least)
+            if found:
+                u, v = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    dealt = some.join(sets, "node").select("key", "chunk", "node", "root", "sketch", "hashes")
+    dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def _compare(done: np.ndarray, sketches: np.ndarray, over: float, upto: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,34 +241,25 @@ def _compare(done: np.ndarray, sketches: np.ndarray, over: float, upto: float) -
 
 
 def left_over(member: DataFrame, classes: DataFrame, over: float, upto: float) -> DataFrame:
-    """(u, v, ru, rv): the candidates of one round among ``member`` (see ``crowded``), whose roots are now those of ``classes`` (fp, root)."""
-    chunks = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / (BUCKET // 2)).cast("long")).otherwise(F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("node", "key"), chunks)
-    chunk = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.least(c, own) * chunks + F.greatest(c, own))).alias("chunk")
-    dealt = member.join(classes, "fp").select("key", chunk, "node", "root", "n", "sketch")
+    """(u, v, ru, rv): the pairs of one round among ``member`` (see ``crowded``), whose roots are those of ``classes`` (fp, root).
+
+    A round brings about ``upto`` less ``over`` partners a member and key, chosen
+    by a hash of the pair; the first takes ``FIRST``, each later one up to
+    ``GROWTH`` times as many, and the last all that is left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
-        sketches = np.zeros((0, BANDS * ROWS), np.uint8)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])], axis=1)
-                own = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-                sketches = np.concatenate([sketches, own])
-            change = np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1
-            # The last run may go on in the next batch.
-            edges = np.r_[0, change] if batch is not None else np.r_[0, change, held.shape[1]]
-            for a, b in itertools.pairwise(edges.tolist()):
-                i, j = _compare(held[2:, a:b], sketches[a:b], over, upto) if b - a > 1 else ([], [])
+        for done, edges in _runs(batches):
+            held, sketches = np.stack([done.column(c).to_numpy() for c in ("node", "root", "n")]), _sketches(done.column("sketch"))
+            for a, b in itertools.pairwise(edges):
+                i, j = _compare(held[:, a:b], sketches[a:b], over, upto) if b - a > 1 else ([], [])
                 if len(i):
-                    (u, v), (ru, rv) = held[2, a:b][np.stack([i, j])], held[3, a:b][np.stack([i, j])]
+                    (u, v), (ru, rv) = held[0, a:b][np.stack([i, j])], held[1, a:b][np.stack([i, j])]
                     swap = u > v
                     out = np.where(swap, v, u), np.where(swap, u, v), np.where(swap, rv, ru), np.where(swap, ru, rv)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v", "ru", "rv"])
-            held, sketches = held[:, edges[-1] :], sketches[edges[-1] :]
 
-    dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return dealt.mapInArrow(run, "u long, v long, ru long, rv long").distinct()
+    return _dealt(member, classes).mapInArrow(run, "u long, v long, ru long, rv long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

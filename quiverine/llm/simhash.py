@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverine.llm import jaccard
-from quiverine.llm.common import arrow_map, checkpoint, positional, read
+from quiverine.llm.common import arrow_map, checkpoint, positional, read, sieved
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -96,40 +96,36 @@ def similar_classes(rows: DataFrame, fps: DataFrame, classes: DataFrame, shingle
     nodes = checkpoint(worded.groupBy("fp", "node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     # Tables between the steps are written, so that their sizes are known to the joins that follow.
     keys = checkpoint(jaccard.shared(nodes.join(classes, "fp")))
-    member = checkpoint(jaccard.members(nodes, keys))
-    met = checkpoint(jaccard.candidates(member, classes))
-    classes = _linked(rows, worded, classes, checkpoint(jaccard.alike(met, nodes)), shingle, similarity)
+    member = checkpoint(jaccard.members(nodes, keys).join(nodes.select("fp", "node", "sketch"), ["fp", "node"]))
+    pairs = checkpoint(jaccard.candidates(member, classes))
+    if not pairs.isEmpty():
+        sets = _sets(rows, worded, pairs.select(F.explode(F.array("u", "v")).alias("node")), shingle)
+        classes = _joined(classes, jaccard.verified(pairs, sets, similarity))
     # What the candidates leave out: members of keys that still hold several components.
-    member = checkpoint(jaccard.crowded(member, nodes, classes))
-    largest = member.agg(F.max("n")).first()[0]
-    if largest is None:
+    some = checkpoint(jaccard.promising(checkpoint(jaccard.crowded(member, classes)), classes))
+    if some.isEmpty():
         return classes
-    compared, over, upto = met.select("u", "v"), 0, jaccard.FIRST
-    while True:
-        pairs = checkpoint(jaccard.left_over(member, classes, over, upto).join(compared, ["u", "v"], "left_anti"))
-        classes = _linked(rows, worded, classes, pairs, shingle, similarity)
-        if upto >= largest:  # every pair has had its round
-            return classes
-        compared, over, upto = compared.unionByName(pairs.select("u", "v")), upto, upto * jaccard.GROWTH
+    return _joined(classes, jaccard.linking(some, _sets(rows, worded, some.select("node"), shingle), similarity))
 
 
-def _linked(rows: DataFrame, worded: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``classes`` joined where the sets of ``pairs`` (u, v, ru, rv) have ``similarity`` or more."""
-    if pairs.isEmpty():
-        return classes
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # One row for each set that is compared gives its shingles.
+def _sets(rows: DataFrame, worded: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the sets of shingles of ``nodes`` (node)."""
+    # One row for each set gives its shingles.
     row = worded.groupBy("node").agg(F.min(F.struct("key", "check")).alias("row"))
-    # Written first, so that its size is known: texts are moved only where these rows are too many to go to them.
-    row = checkpoint(row.join(wanted, "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check")))
-    texts = rows.select("key", "check", "text").join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
+    row = checkpoint(row.join(nodes.distinct(), "node").select("node", F.col("row.key").alias("key"), F.col("row.check").alias("check")))
+    texts = sieved(rows.select("key", "check", "text"), row, ["key", "check"])
+    texts = texts.join(row, ["key", "check"]).dropDuplicates(["key", "check"]).select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "hashes"])
 
-    sets = checkpoint(arrow_map(texts, run, "node long, hashes array<long>"))
-    joined = components(jaccard.verified(pairs, sets, similarity))
+    return checkpoint(arrow_map(texts, run, "node long, hashes array<long>"))
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (fp, root) joined where ``links`` (u, v) tell of two roots."""
+    joined = components(links)
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
     return checkpoint(classes.join(joined, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
 

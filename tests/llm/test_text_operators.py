@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import pickle
 import random
 import time
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quiverine.llm import bpe, gif, jaccard, langid, packing, pii, simhash, substring, toxicity
+from quiverine.llm.common import sieved
 
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -487,6 +489,69 @@ def test_crowded_keys_end_in_the_components_of_all_pairs(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.near_dedup(df, 5, 3, similarity=0.8).collect()} == wanted
 
 
+def test_a_crowded_key_makes_no_rows_by_pairs(spark, monkeypatch):
+    """Texts of one key that are alike by less than 0.8 are all compared, and no table has a row for each pair."""
+    rng, n = random.Random(9), 200
+    base = [f"b{rng.randrange(10**6)}" for _ in range(240)]
+    texts = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(2, 238, 5), 5):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    sketches = [np.frombuffer(jaccard.bands(s)[2], np.uint8) for s in sets]
+    alike = sum(int((a == b).sum() >= jaccard.ALIKE and jaccard.similarity(a_set, b_set) < 0.8) for (a, a_set), (b, b_set) in itertools.combinations(list(zip(sketches, sets)), 2))
+    assert alike > 30 * n
+    write, counts = simhash.checkpoint, []
+
+    def counting(df, **options):
+        out = write(df, **options)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpoint", counting)
+    one = [F.lit(1).cast("long").alias("key"), F.lit(n).cast("long").alias("n")]
+    monkeypatch.setattr(jaccard, "members", lambda nodes, keys: nodes.select(*one, F.lit(0).cast("long").alias("next"), "fp", "node"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert simhash.near_dedup(df, 5, 3, similarity=0.8).count() >= 1
+    assert max(counts) <= 10 * n
+
+
+def test_chunks_of_a_crowded_key_are_linked_as_all_pairs(spark, monkeypatch):
+    """Links of whole sets, over more members than a task takes: a forest in each pair of chunks, and the components of all pairs."""
+    monkeypatch.setattr(jaccard, "BUCKET", 32)
+    n, rng = 150, random.Random(10)
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in crowd(rng, n)]
+    found = [jaccard.bands(h) for h in sets]
+    member = spark.createDataFrame([(7, n, k, node, bytearray(sketch)) for k, (node, _, sketch) in enumerate(found)], "key long, n long, fp long, node long, sketch binary").repartition(4)
+    classes = spark.createDataFrame([(k, k) for k in range(n)], "fp long, root long")
+    some = jaccard.promising(member, classes)
+    assert some.count() == some.select("key", "chunk", "node").distinct().count()
+    got = jaccard.linking(some, spark.createDataFrame([(found[k][0], sets[k].view(np.int64).tolist()) for k in range(n)], "node long, hashes array<long>"), 0.8).collect()
+
+    def joined(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            a, b = sorted((root[a], root[b]))
+            root = [a if r == b else r for r in root]
+        return root
+
+    wanted = joined((i, j) for i in range(n) for j in range(i) if jaccard.similarity(sets[i], sets[j]) >= 0.8)
+    assert 1 < len(set(wanted)) < n
+    assert joined((r["u"], r["v"]) for r in got) == wanted
+    assert all(jaccard.similarity(sets[r["u"]], sets[r["v"]]) >= 0.8 for r in got)
+
+
+def test_a_sieve_loses_no_row(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("key"), F.concat(F.lit("t"), "id").alias("text"))
+    for few in (rows.filter("key % 97 = 3"), rows.limit(0)):
+        passed = sieved(rows, few.select("key"), ["key"])
+        assert passed.columns == rows.columns
+        assert few.exceptAll(passed).isEmpty()
+        assert passed.count() <= few.count() + 0.05 * 50_000
+
+
 # PII
 
 
