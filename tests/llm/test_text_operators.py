@@ -331,6 +331,54 @@ def test_unlearned_languages_and_gibberish_go(spark):
     assert len(kept) >= 0.99 * docs.count()
 
 
+def test_the_model_is_of_all_labelled_rows(spark, monkeypatch):
+    """Rows beyond those that landmarks are drawn from move the weights, as in a regression over all; over tasks and blocks."""
+    rng = random.Random(12)
+    rows = [("abc"[k % 3], " ".join("".join(rng.choice({"a": "aeiou", "b": "aestn", "c": "ßüöxz"}["abc"[k % 3]]) for _ in range(4)) for _ in range(12))) for k in range(150)]
+    rows += rows[:30:3] + [(None, "no label"), ("a", None), ("b", "12 34")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    monkeypatch.setattr(langid, "BLOCK", 8)
+    model = langid.fit(df, per_language=12, landmarks=6)
+    index, own = model.index(), [(lang, langid.letters(t)) for lang, t in rows if lang and t and langid.letters(t)]
+    f = langid.kernel(langid.presence([line for _, line in own], index, len(model.features)), model.landmarks).astype(np.float64)
+    of = np.array(["abc".index(lang) for lang, _ in own])
+    weight = len(of) / (3 * np.bincount(of)[of])
+    # Landmarks in their own coordinates: the kernel of any row is the product with these.
+    bare = langid.Model(model.languages, model.features, model.landmarks, model.weights, len(of) / (3 * np.bincount(of)))
+    squares, sums = langid.moments(df.filter("lang is not null and text is not null"), bare)
+    assert np.allclose(squares, f.T @ (f * weight[:, None]))
+    assert np.allclose(sums, (f * weight[:, None]).T @ (of[:, None] == np.arange(3)))
+    normed = (model.landmarks > 0).astype(np.float32)
+    among = langid.kernel(normed.T, model.landmarks).astype(np.float64)
+    values, vectors = np.linalg.eigh((among + among.T) / 2)
+    good = values > 1e-6 * values.max()
+    to = vectors[:, good] / np.sqrt(values[good])
+    mapped, targets = f @ to, np.where(of[:, None] == np.arange(3), 1.0, -1.0)
+    middle = weight @ targets / weight.sum()
+    solved = np.linalg.solve(mapped.T @ (mapped * weight[:, None]) + 0.03 * len(of) * np.eye(mapped.shape[1]), mapped.T @ ((targets - middle) * weight[:, None]))
+    assert np.allclose(model.weights, to @ solved, atol=1e-3)
+
+
+def test_a_language_of_copies_is_learned(spark):
+    rows = [("a", f"aeiou {'aeiou'[k % 5] * 3} {k}") for k in range(40)] + [("b", "xyz zyx")] * 3000
+    assert langid.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=1).languages == ("a", "b")
+
+
+def test_the_least_score_is_of_all_held_out_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    scores = [rng.choice([rng.random(), 0.25, 0.25 + 2**-50, 0.0, 1.0]) for _ in range(3000)]
+    df = spark.createDataFrame([(s,) for s in scores], "score double").repartition(4)
+    for part in (0.0, 0.001, 0.3, 0.35, 0.5, 1.0):
+        assert langid.ranked(df, part) == np.quantile(scores, part, method="lower")
+    assert langid.ranked(df.limit(0), 0.5) is None
+    asked = []
+    monkeypatch.setattr(langid, "MAX_ROWS", 3)
+    monkeypatch.setattr(langid, "predict", lambda held, model, keep: asked.append(held.count()) or held.select("lang", F.col("lang").alias("lang_pred"), F.lit(0.3).alias("score")))
+    docs = spark.createDataFrame([(k, f"text {k}", "en") for k in range(200)], "doc_id long, text string, lang string")
+    assert langid.calibrated(docs, None) == 0.3
+    assert asked == [sum(crc(k) % 5 == 0 for k in range(200))]
+
+
 def test_nothing_to_learn_from(docs, rows):
     got = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in got} == {"und"}
