@@ -1,24 +1,28 @@
 """k-means: spread-out starting centres, then rounds of means and nearest centres.
 
 Two ways lead to the same rules. ``fit_block`` works on a block in memory, for
-samples of a stated bound and for tests. ``fit`` works on a table of any size:
-a round is one pass that finds each vector's nearest centre and sums by centre
-within a task; only centres, one row each, come to the driver.
+samples of a stated bound and for tests. ``fit`` works on a table of any size,
+kept by the executors in blocks: a round is one pass that finds each vector's
+nearest centre and sums by centre within a task; only centres, one row each,
+come to the driver.
 
 The rules: the first centre is drawn evenly, each further one in proportion to
 the squared distance from the nearest so far. A round replaces each centre by
 the mean of its vectors, and stops if the largest move, over the largest norm
 of the new centres, is under ``epsilon``; else vectors go to their nearest
-centre, the first of equals. There are at most ``rounds`` rounds.
+centre, the first of equals. There are at most ``rounds`` rounds; large tables
+can take several times the default, so ``fit`` takes None for no limit.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,49 +193,48 @@ def lloyd_sql(vectors: DataFrame, centroids: DataFrame, rounds: int) -> DataFram
     return centroids
 
 
-def _sums(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(vectors: DataFrame) -> RDD:
+    """The vectors as blocks of numbers, kept by the executors for the rounds of a fit."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(batch.column(0))
+            for a in range(0, len(rows), BLOCK):
+                part = rows[a : a + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array([part.shape[1]], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["width", "numbers"])
+
+    packed = vectors.select("vec").mapInArrow(pack, "width int, numbers binary").rdd
+    return packed.map(lambda r: np.frombuffer(r["numbers"]).reshape(-1, r["width"])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _sums(blocks: RDD, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each centre's number of nearest vectors and their sum: summed in each task, then by centre."""
     k, width = centroids.shape
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(parts: Iterator[np.ndarray]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
         counts, sums = np.zeros(k, np.int64), np.zeros((k, width))
-        for batch in batches:
-            if batch.num_rows:
-                rows = matrix(batch.column(0))
-                nearest, _ = nearest_block(rows, centroids)
-                counts += np.bincount(nearest, minlength=k)
-                sums += sum_by(nearest, rows, k)
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.array(sums[at].tolist(), pa.list_(pa.float64()))], ["cluster", "n", "s"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), matrix(batch.column(2)), strict=True):
-                counts[c] = counts.get(c, 0) + n
-                sums[c] = sums.get(c, 0) + s
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["cluster", "n", "s"])
-
-    schema = "cluster int, n long, s array<double>"
-    by_task = vectors.select("vec").mapInArrow(partial, schema)
-    # A row for each task and centre: the tasks' sums are merged by centre, and what is left, by centre and merging task, is k rows or a few more.
-    merged = by_task.repartition(min(k, 64), "cluster").mapInArrow(merge, schema)
+        for rows in parts:
+            nearest, _ = nearest_block(rows, centroids)
+            counts += np.bincount(nearest, minlength=k)
+            sums += sum_by(nearest, rows, k)
+        for c in np.flatnonzero(counts).tolist():
+            yield c, (int(counts[c]), sums[c])
+
+    # A pair for each task and centre goes to the centre's merging task; k come to the driver.
+    merged = blocks.mapPartitions(partial).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), min(k, 64, blocks.getNumPartitions()))
     counts, sums = np.zeros(k, np.int64), np.zeros((k, width))
-    for row in merged.collect():
-        counts[row["cluster"]] += row["n"]
-        sums[row["cluster"]] += np.array(row["s"])
+    for c, (n, s) in merged.collect():
+        counts[c], sums[c] = n, s
     return counts, sums
 
 
-def fit(vectors: DataFrame, k: int, seed: int = 0, init: np.ndarray | None = None, sample: int = 65_536, rounds: int = ROUNDS, epsilon: float = EPSILON_FLOAT, listener: Listener | None = None) -> np.ndarray:
+def fit(vectors: DataFrame, k: int, seed: int = 0, init: np.ndarray | None = None, sample: int = 65_536, rounds: int | None = ROUNDS, epsilon: float = EPSILON_FLOAT, listener: Listener | None = None) -> np.ndarray:
     """Centres of a table (vec_ord, vec) of any size.
 
     The starting centres are drawn by the rule above from at most about
     ``sample`` vectors, chosen evenly by a hash of their ordinals; a table that
-    is no larger takes part as a whole. Every round reads all vectors.
+    is no larger takes part as a whole. Every round reads all vectors. Without
+    a limit of rounds (None) they go on until a move is under ``epsilon``.
     """
     n = vectors.count()
     if n < k:
@@ -244,17 +247,21 @@ def fit(vectors: DataFrame, k: int, seed: int = 0, init: np.ndarray | None = Non
         tell(listener, "finish_init")
     else:
         centroids = np.asarray(init, float).copy()
-    for number in range(rounds):
-        tell(listener, "start_update", round=number)
-        counts, sums = _sums(vectors, centroids)
-        if (counts == 0).any():
-            raise InvalidArgs(f"cluster {int((counts == 0).argmax())} is empty")
-        new = sums / counts[:, None]
-        shift = moved(centroids, new)
-        centroids = new
-        tell(listener, "finish_update", round=number, shift=shift)
-        if shift < epsilon:
-            break
+    blocks = _blocks(vectors)
+    try:
+        for number in itertools.count() if rounds is None else range(rounds):
+            tell(listener, "start_update", round=number)
+            counts, sums = _sums(blocks, centroids)
+            if (counts == 0).any():
+                raise InvalidArgs(f"cluster {int((counts == 0).argmax())} is empty")
+            new = sums / counts[:, None]
+            shift = moved(centroids, new)
+            centroids = new
+            tell(listener, "finish_update", round=number, shift=shift)
+            if shift < epsilon:
+                break
+    finally:
+        blocks.unpersist()
     return centroids
 
 

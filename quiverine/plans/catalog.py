@@ -126,9 +126,9 @@ def kmeans_lloyd2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_train_random(spark: SparkSession, sf: str) -> DataFrame:
-    """Drawn centres, trained over all vectors: their number, the vectors they hold, and whether another round would move them."""
+    """Drawn centres, trained over all vectors until they stand still: their number, the vectors they hold, and whether another round would move them."""
     vectors = _vectors(spark, sf)
-    centres = kmeans.centroid_table(spark, kmeans.fit(vectors, P, seed=1))
+    centres = kmeans.centroid_table(spark, kmeans.fit(vectors, P, seed=1, rounds=None))
     assigned = kmeans.assign_sql(vectors, centres)
     held = assigned.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.sum("n").alias("n"))
     moves = kmeans.shift_sql(centres, kmeans.means_sql(vectors, assigned)).select((F.col("shift") > 1e-3).alias("moves"))

@@ -1,9 +1,11 @@
+import duckdb
 import numpy as np
 import pytest
 
 from quiverine.errors import InvalidArgs
 from quiverine.operators import kmeans
 from quiverine.operators.vectors import check, from_block
+from quiverine.plans import catalog
 
 
 def blobs(n=120, seed=3):
@@ -71,6 +73,29 @@ def test_the_table_way_follows_the_block_way(spark):
     assert again == got
 
 
+def test_training_goes_on_until_the_centres_stand_still(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = (rng.normal(size=(4000, 4)) + 3 * rng.normal(size=4)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    table.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+    kmeans.fit_block(rows, catalog.P, seed=1, rounds=10**6, listener=lambda e: seen.append(e.name))
+    assert seen.count("finish_update") > kmeans.ROUNDS
+    embeddings = duckdb.read_parquet(f"{tmp_path}/embeddings.parquet/*.parquet")  # noqa: F841  named in the SQL
+    assert [tuple(r) for r in catalog.kmeans_train_random(spark, str(tmp_path)).collect()] == duckdb.sql(catalog.ORACLES["kmeans_train_random"]).fetchall()
+
+
+def test_blocks_are_let_go_and_a_limit_of_rounds_holds(spark):
+    vectors = from_block(spark, blobs(), 4).repartition(3)
+    seen = []
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    kmeans.fit(vectors, 3, seed=5, rounds=2, epsilon=0.0, listener=lambda e: seen.append(e.name))
+    assert seen.count("finish_update") == 2
+    with pytest.raises(InvalidArgs, match="empty"):
+        kmeans.fit(vectors, 2, init=np.array([[0.0] * 4, [99.0] * 4]), rounds=None)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_vectors_are_checked(spark):
     assert check(from_block(spark, [], 4)) == (0, 0)
     assert check(from_block(spark, range(10), 2)) == (5, 2)
